@@ -1,0 +1,5 @@
+"""Intentionally empty: every source of this engine is a stored table.
+
+The system whose queries are matched here has no stream source, watermark or
+stateful operator, so no streaming operator is offered.
+"""
