@@ -51,14 +51,19 @@ def subgraphs_of(paths: DataFrame, topics: Iterable[int] | DataFrame) -> DataFra
 
 
 class PivotGraphs:
-    """Graphs of the given roots: a DataFrame with ``beta`` and ``topic_id``."""
+    """Graphs of the given roots: a DataFrame with ``beta`` and ``topic_id``.
+
+    Copies of a root do not matter: edges are found by a semi-join.  Its right side
+    is left undeduplicated on purpose, because AQE splits a skewed partition (a
+    root whose graph holds much of the table) only between plain exchanges.
+    """
 
     def __init__(self, corpus: Corpus, root_rows: DataFrame) -> None:
         self.corpus = corpus
-        self.roots = root_rows.select("beta", "topic_id").distinct()
+        self.root_rows = root_rows.select("beta", "topic_id")
 
     def _edges(self) -> DataFrame:
-        wanted = self.roots.select("beta", F.col("topic_id").alias("ti"))
+        wanted = self.root_rows.select("beta", F.col("topic_id").alias("ti"))
         return self.corpus.paths().join(wanted, ["beta", "ti"], "left_semi")
 
     @staticmethod
@@ -145,7 +150,7 @@ class PivotGraphs:
             .when(n_past > 0, S.PAST)
             .otherwise("none")
         )
-        return self.roots.join(counted, ["beta", "topic_id"], "left").select(
+        return roots(self.root_rows).join(counted, ["beta", "topic_id"], "left").select(
             "beta",
             F.col("topic_id").alias("root"),
             n_future.alias("n_future"),
@@ -157,7 +162,8 @@ class PivotGraphs:
         """Roots without any edge: their terms and period instead of a graph."""
         linked = self.corpus.paths().select("beta", F.col("ti").alias("topic_id")).distinct()
         return (
-            self.roots.join(linked, ["beta", "topic_id"], "left_anti")
+            roots(self.root_rows)
+            .join(linked, ["beta", "topic_id"], "left_anti")
             .join(self.corpus.individuals(), ["beta", "topic_id"])
             .join(self.corpus.periods(), "period_idx")
             .select("beta", "topic_id", "terms", "period_idx", "period")

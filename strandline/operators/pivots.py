@@ -137,17 +137,37 @@ class PivotSet:
     def intersect(self, other: PivotSet) -> PivotSet:
         """Distinct, null-safe; a side missing on either operand is missing."""
         shared = self.sides & other.sides
-        return self._with(self._side(*shared).intersect(other._side(*shared)), shared)
+        members = self._membership(other, shared).filter("in_self AND in_other")
+        return self._with(members, shared)
 
     def minus(self, other: PivotSet) -> PivotSet:
         """EXCEPT DISTINCT on shared sides; a side the other lacks passes unchanged."""
         shared = self.sides & other.sides
-        rows = self._side(*shared).subtract(other._side(*shared))
+        rows = self._membership(other, shared).filter("in_self AND NOT in_other")
+        rows = rows.select(*S.PIVOT_COLUMNS)
         untouched = self.sides - shared
         if untouched:
             rows = rows.unionByName(self._side(*untouched))
         return self._with(rows)
 
+    def _membership(self, other: PivotSet, shared: Iterable[str]) -> DataFrame:
+        """Distinct rows of the shared sides with the operands they occur in.
+
+        Grouping is null-safe and combines copies before its only shuffle; the
+        built-in set operations join first, which sends all copies of a row to one
+        task.
+        """
+        mine = self._side(*shared).withColumn("mine", F.lit(True))
+        theirs = other._side(*shared).withColumn("mine", F.lit(False))
+        return (
+            mine.unionByName(theirs)
+            .groupBy(*S.PIVOT_COLUMNS)
+            .agg(
+                F.bool_or("mine").alias("in_self"),
+                F.bool_or(~F.col("mine")).alias("in_other"),
+            )
+        )
+
     # --- path filter ------------------------------------------------------------
 
     def path(self, other: PivotSet) -> PivotSet:
@@ -155,18 +175,18 @@ class PivotSet:
 
         Per threshold and side: future graphs are followed to later topics, past
         graphs to older ones.  Two semi-joins, so the multiplicity of the rows kept
-        does not change and no pair of pivots is ever built; the second one reads
-        at most one row per root because hits are combined before the shuffle.
+        does not change and no pair of pivots is ever built.  The targets stay a
+        plain exchange (a semi-join ignores copies), which lets AQE split a target
+        that many graphs reach; the hits are combined before they are shuffled.
         """
         shared = self.sides & other.sides
-        targets = other._side(*shared).select(
-            "direction", "beta", F.col("topic_id").alias("tk")
-        ).distinct()
+        targets = other._side(*shared).select("direction", "beta", F.col("topic_id").alias("tk"))
         future, past = F.col("direction") == S.FUTURE, F.col("direction") == S.PAST
         onward = (future & (F.col("ti") < F.col("tk"))) | (past & (F.col("tk") < F.col("ti")))
-        edges = self.corpus.paths().filter(F.col("direction").isin(*shared) if shared else F.lit(False))
+        in_shared = F.col("direction").isin(*shared) if shared else F.lit(False)
         hits = (
-            edges.filter(onward)
+            self.corpus.paths()
+            .filter(in_shared & onward)
             .select("direction", "beta", "ti", "tk")
             .join(targets, ["direction", "beta", "tk"], "left_semi")
             .select("direction", "beta", F.col("ti").alias("topic_id"))
@@ -272,4 +292,4 @@ class PivotSet:
         return graphs.roots(self.rows)
 
     def graphs(self) -> graphs.PivotGraphs:
-        return graphs.PivotGraphs(self.corpus, self.roots())
+        return graphs.PivotGraphs(self.corpus, self.rows)

@@ -19,6 +19,7 @@ topics per period, which bounds every fan-out below.
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -390,6 +391,7 @@ class DerivedCorpus(Corpus):
                 "topic_dictionary": lambda: self._dictionary().select(
                     *S.TOPIC_DICTIONARY.fieldNames()
                 ),
+                "periods": self._periods,
                 "vocabulary": self._vocabulary,
                 "similarity_links": lambda: self._links().select(*S.SIMILARITY_LINKS.fieldNames()),
             }
@@ -402,10 +404,17 @@ class DerivedCorpus(Corpus):
         with self._lock:
             return super().table(name)
 
-    def _written(self, name, schema, build, partition_by=()) -> DataFrame:
+    def _written(
+        self,
+        name: str,
+        schema: T.StructType,
+        build: Callable[[], DataFrame],
+        partition_by: Sequence[str] = (),
+        sort_by: Sequence[str] = (),
+    ) -> DataFrame:
         with self._lock:
             if name not in self._built:
-                self.workspace.write(name, build(), partition_by)
+                self.workspace.write(name, build(), partition_by, sort_by)
                 self._built.add(name)
         return self.workspace.read(name, schema)
 
@@ -414,15 +423,26 @@ class DerivedCorpus(Corpus):
             counts = term_counts(self.source("lineitem"), self.source("part"), self.grain)
             return topic_nodes(counts, self.grain)
 
-        return self._written("topic_nodes", _NODES, build)
+        return self._written("topic_nodes", _NODES, build, sort_by=["topic_id"])
+
+    def _periods(self) -> DataFrame:
+        def build() -> DataFrame:
+            return Corpus.of(topic_nodes=self.table("topic_nodes")).periods()
+
+        return self._written("periods", S.PERIODS, build)
 
     def _dictionary(self) -> DataFrame:
         return self._written(
-            "topic_dictionary", _DICTIONARY, lambda: topic_dictionary(self._nodes())
+            "topic_dictionary",
+            _DICTIONARY,
+            lambda: topic_dictionary(self._nodes()),
+            sort_by=["topic_id"],
         )
 
     def _vocabulary(self) -> DataFrame:
-        return self._written("vocabulary", S.VOCABULARY, lambda: vocabulary(self._nodes()))
+        return self._written(
+            "vocabulary", S.VOCABULARY, lambda: vocabulary(self._nodes()), sort_by=["id"]
+        )
 
     def _links(self) -> DataFrame:
         return self._written("similarity_links", _LINKS, lambda: similarity_links(self._nodes()))
@@ -436,7 +456,7 @@ class DerivedCorpus(Corpus):
                 hop = first_hop(edges)
                 for number in range(1, N_PERIODS):
                     name = f"paths/hop={number}"
-                    self.workspace.write(name, hop, layout)
+                    self.workspace.write(name, hop, layout, sort_by=["ti"])
                     hop = next_hop(self.workspace.read(name, S.PATHS), edges)
                 self._built.add("paths")
         return self.workspace.read("paths", S.PATHS).select(*S.PATH_COLUMNS)
@@ -448,7 +468,11 @@ class DerivedCorpus(Corpus):
 
     def _labels(self) -> DataFrame:
         rows = self._written(
-            "labels", S.LABELS, lambda: labels(self._dictionary(), self._seen()), ("beta",)
+            "labels",
+            S.LABELS,
+            lambda: labels(self._dictionary(), self._seen()),
+            partition_by=["beta"],
+            sort_by=["ti"],
         )
         return rows.select(*S.LABEL_COLUMNS)
 
@@ -457,7 +481,8 @@ class DerivedCorpus(Corpus):
             "pivots",
             S.PIVOTS,
             lambda: statistics(self.table("paths"), self._seen(), self.table("labels")),
-            ("direction", "beta"),
+            partition_by=["direction", "beta"],
+            sort_by=["topic_id"],
         )
         return rows.select(*S.PIVOT_COLUMNS)
 
@@ -466,6 +491,7 @@ class DerivedCorpus(Corpus):
             "individuals",
             S.INDIVIDUALS,
             lambda: individuals(self._dictionary(), self.table("paths")),
-            ("beta",),
+            partition_by=["beta"],
+            sort_by=["topic_id"],
         )
         return rows.select(*S.INDIVIDUALS.fieldNames())

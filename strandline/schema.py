@@ -75,6 +75,7 @@ TOPIC_NODES = _struct(
 TOPIC_DICTIONARY = _struct(topic_id=T.LongType(), terms=_TERMS)
 VOCABULARY = _struct(id=T.LongType(), term=T.StringType())
 SIMILARITY_LINKS = _struct(s=T.LongType(), t=T.LongType(), sim=T.DoubleType())
+PERIODS = _struct(period=T.StringType(), period_idx=T.IntegerType())
 INDIVIDUALS = _struct(
     beta=T.DoubleType(), topic_id=T.LongType(), terms=_TERMS, period_idx=T.IntegerType()
 )

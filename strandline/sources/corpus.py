@@ -16,6 +16,7 @@ TABLES = (
     "topic_dictionary",
     "vocabulary",
     "similarity_links",
+    "periods",
 )
 
 
@@ -73,9 +74,12 @@ class Corpus:
     def periods(self) -> DataFrame:
         """Distinct period labels with their ordinal in sorted order.
 
-        The window has no partition key, but it runs over the distinct labels
-        only: one row per calendar window, whatever the size of the corpus.
+        A corpus may store them; otherwise they come from the topic nodes.  The
+        window has no partition key, but it runs over the distinct labels only:
+        one row per calendar window, whatever the size of the corpus.
         """
+        if "periods" in self._loaders:
+            return self.table("periods")
         labels = self.topic_nodes().select("period").distinct()
         ordinal = F.row_number().over(Window.orderBy("period")) - 1
         return labels.select("period", ordinal.alias("period_idx"))

@@ -44,7 +44,17 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
+    def write(
+        self,
+        name: str,
+        df: DataFrame,
+        partition_by: Sequence[str] = (),
+        sort_by: Sequence[str] = (),
+    ) -> None:
+        """``sort_by`` orders the rows of each file, so that a lookup by those columns
+        skips row groups by their min/max statistics."""
+        if sort_by:
+            df = df.sortWithinPartitions(*partition_by, *sort_by)
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
