@@ -6,6 +6,7 @@ from strandline.functions.columns import (
     mentions,
     mentions_any,
     rounded_similarity,
+    threshold_key,
 )
 
 __all__ = [
@@ -16,4 +17,5 @@ __all__ = [
     "mentions",
     "mentions_any",
     "rounded_similarity",
+    "threshold_key",
 ]

@@ -39,6 +39,15 @@ def joined(array_column: str, separator: str = ",") -> Column:
     return F.array_join(F.array_sort(F.col(array_column)), separator)
 
 
+def threshold_key(beta: str | Column = "beta") -> Column:
+    """A threshold as an exact decimal, for use as a join or grouping key.
+
+    Spark normalises floating-point keys separately in every operator, so an
+    aggregate and a join on a double never share an exchange; on a decimal they do.
+    """
+    return F.col(beta).cast("decimal(9,6)") if isinstance(beta, str) else beta.cast("decimal(9,6)")
+
+
 def rounded_similarity(sim: Column) -> Column:
     """Two decimals, half-even on the scaled value.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline import schema as S
-from strandline.functions import edge_strength, rounded_similarity
+from strandline.functions import edge_strength, rounded_similarity, threshold_key
 from strandline.sources.corpus import Corpus
 
 
@@ -50,21 +50,29 @@ def subgraphs_of(paths: DataFrame, topics: Iterable[int] | DataFrame) -> DataFra
     return paths.filter(F.col("ti").isin(*topics))
 
 
+def _as_double(df: DataFrame) -> DataFrame:
+    return df.withColumn("beta", F.col("beta").cast("double"))
+
+
 class PivotGraphs:
     """Graphs of the given roots: a DataFrame with ``beta`` and ``topic_id``.
 
     Copies of a root do not matter: edges are found by a semi-join.  Its right side
     is left undeduplicated on purpose, because AQE splits a skewed partition (a
     root whose graph holds much of the table) only between plain exchanges.
+    Inside, the threshold is an exact decimal; it leaves as the double it came as.
     """
 
     def __init__(self, corpus: Corpus, root_rows: DataFrame) -> None:
         self.corpus = corpus
-        self.root_rows = root_rows.select("beta", "topic_id")
+        self.root_rows = root_rows.select(threshold_key().alias("beta"), "topic_id")
+
+    def _paths(self) -> DataFrame:
+        return self.corpus.paths().withColumn("beta", threshold_key())
 
     def _edges(self) -> DataFrame:
-        wanted = self.root_rows.select("beta", F.col("topic_id").alias("ti"))
-        return self.corpus.paths().join(wanted, ["beta", "ti"], "left_semi")
+        wanted = self.root_rows.withColumnRenamed("topic_id", "ti")
+        return self._paths().join(wanted, ["beta", "ti"], "left_semi")
 
     @staticmethod
     def _graph_key(merged: bool) -> list[Column]:
@@ -82,13 +90,13 @@ class PivotGraphs:
 
     def edges(self, merged: bool = False) -> DataFrame:
         """Distinct edges of the future and of the past graphs."""
-        return (
-            self._edges().select(*self._graph_key(merged), "direction", *self._oriented()).distinct()
-        )
+        key = self._graph_key(merged)
+        return _as_double(self._edges().select(*key, "direction", *self._oriented()).distinct())
 
     def bidirectional_edges(self, merged: bool = False) -> DataFrame:
         """Distinct edges of both directions together (parallel edges collapse)."""
-        return self._edges().select(*self._graph_key(merged), *self._oriented()).distinct()
+        key = self._graph_key(merged)
+        return _as_double(self._edges().select(*key, *self._oriented()).distinct())
 
     def styled_edges(self, merged: bool = False) -> DataFrame:
         """Edges with the rounded similarity and a strength from 1 to 10."""
@@ -105,10 +113,13 @@ class PivotGraphs:
             .select(*self._graph_key(merged), F.explode(F.array("tj", "tk")).alias("topic_id"))
             .distinct()
         )
-        label_rows = self.corpus.labels().withColumnRenamed("ti", "topic_id")
-        return topics.join(label_rows, ["beta", "topic_id"]).select(
-            *topics.columns, *S.LABEL_KINDS
+        label_rows = (
+            self.corpus.labels()
+            .withColumn("beta", threshold_key())
+            .withColumnRenamed("ti", "topic_id")
         )
+        labelled = topics.join(label_rows, ["beta", "topic_id"])
+        return _as_double(labelled.select(*topics.columns, *S.LABEL_KINDS))
 
     def timeline_nodes(self, merged: bool = False) -> DataFrame:
         """Periods the graphs touch, with their labels."""
@@ -117,21 +128,17 @@ class PivotGraphs:
             .select(*self._graph_key(merged), F.explode(F.array("pj", "pk")).alias("period_idx"))
             .distinct()
         )
-        return ordinals.join(self.corpus.periods(), "period_idx").select(
-            *ordinals.columns, "period"
-        )
+        named = ordinals.join(self.corpus.periods(), "period_idx")
+        return _as_double(named.select(*ordinals.columns, "period"))
 
     def timeline_edges(self, merged: bool = False) -> DataFrame:
         """Distinct pairs of linked periods, earlier one first."""
-        return (
-            self._edges()
-            .select(
-                *self._graph_key(merged),
-                F.least("pj", "pk").alias("from_idx"),
-                F.greatest("pj", "pk").alias("to_idx"),
-            )
-            .distinct()
+        pairs = self._edges().select(
+            *self._graph_key(merged),
+            F.least("pj", "pk").alias("from_idx"),
+            F.greatest("pj", "pk").alias("to_idx"),
         )
+        return _as_double(pairs.distinct())
 
     def shapes(self) -> DataFrame:
         """Per root: edge counts of both directions and which of them are non-empty."""
@@ -139,8 +146,10 @@ class PivotGraphs:
         def edges_in(direction: str) -> Column:
             return F.count_if(F.col("direction") == direction)
 
-        counted = self.corpus.paths().groupBy("beta", F.col("ti").alias("topic_id")).agg(
-            edges_in(S.FUTURE).alias("n_future"), edges_in(S.PAST).alias("n_past")
+        counted = (
+            self._paths()
+            .groupBy("beta", F.col("ti").alias("topic_id"))
+            .agg(edges_in(S.FUTURE).alias("n_future"), edges_in(S.PAST).alias("n_past"))
         )
         n_future = F.coalesce("n_future", F.lit(0).cast("bigint"))
         n_past = F.coalesce("n_past", F.lit(0).cast("bigint"))
@@ -150,21 +159,23 @@ class PivotGraphs:
             .when(n_past > 0, S.PAST)
             .otherwise("none")
         )
-        return roots(self.root_rows).join(counted, ["beta", "topic_id"], "left").select(
+        shaped = roots(self.root_rows).join(counted, ["beta", "topic_id"], "left").select(
             "beta",
             F.col("topic_id").alias("root"),
             n_future.alias("n_future"),
             n_past.alias("n_past"),
             shape.alias("shape"),
         )
+        return _as_double(shaped)
 
     def isolated(self) -> DataFrame:
         """Roots without any edge: their terms and period instead of a graph."""
-        linked = self.corpus.paths().select("beta", F.col("ti").alias("topic_id")).distinct()
-        return (
+        linked = self._paths().select("beta", F.col("ti").alias("topic_id"))
+        individuals = self.corpus.individuals().withColumn("beta", threshold_key())
+        alone = (
             roots(self.root_rows)
             .join(linked, ["beta", "topic_id"], "left_anti")
-            .join(self.corpus.individuals(), ["beta", "topic_id"])
+            .join(individuals, ["beta", "topic_id"])
             .join(self.corpus.periods(), "period_idx")
-            .select("beta", "topic_id", "terms", "period_idx", "period")
         )
+        return _as_double(alone.select("beta", "topic_id", "terms", "period_idx", "period"))

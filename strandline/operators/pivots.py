@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from strandline import schema as S
-from strandline.functions import in_range, mentions
+from strandline.functions import in_range, mentions, threshold_key
 from strandline.functions.columns import AT_LEAST, AT_MOST
 from strandline.operators import facets, graphs
 from strandline.sources.corpus import Corpus
@@ -180,19 +180,26 @@ class PivotSet:
         that many graphs reach; the hits are combined before they are shuffled.
         """
         shared = self.sides & other.sides
-        targets = other._side(*shared).select("direction", "beta", F.col("topic_id").alias("tk"))
+        threshold = threshold_key().alias("threshold")
+        targets = other._side(*shared).select(
+            "direction", threshold, F.col("topic_id").alias("tk")
+        )
         future, past = F.col("direction") == S.FUTURE, F.col("direction") == S.PAST
         onward = (future & (F.col("ti") < F.col("tk"))) | (past & (F.col("tk") < F.col("ti")))
         in_shared = F.col("direction").isin(*shared) if shared else F.lit(False)
         hits = (
             self.corpus.paths()
             .filter(in_shared & onward)
-            .select("direction", "beta", "ti", "tk")
-            .join(targets, ["direction", "beta", "tk"], "left_semi")
-            .select("direction", "beta", F.col("ti").alias("topic_id"))
+            .select("direction", threshold, "ti", "tk")
+            .join(targets, ["direction", "threshold", "tk"], "left_semi")
+            .select("direction", "threshold", F.col("ti").alias("topic_id"))
             .distinct()
         )
-        kept = self._side(*shared).join(hits, ["direction", "beta", "topic_id"], "left_semi")
+        kept = (
+            self._side(*shared)
+            .withColumn("threshold", threshold_key())
+            .join(hits, ["direction", "threshold", "topic_id"], "left_semi")
+        )
         return self._with(kept, shared)
 
     # --- ordering ---------------------------------------------------------------

@@ -11,6 +11,8 @@ from strandline.sources.corpus import Corpus
 
 TOP = 50
 PERIOD_YEARS = 2
+# A top-k list up to this length is small by construction and may be broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def period_label(start_year: int) -> str:
@@ -51,7 +53,8 @@ def label_per_period(
 
     The periods of a topic are gathered with one shuffle on the topic id, which the
     join then reuses; a topic has few distinct periods, and they are combined
-    before the shuffle.
+    before the shuffle.  The top list is broadcast, so no term, however frequent,
+    gathers its topics in one task.
     """
     nodes = corpus.topic_nodes()
     if periods is not None:
@@ -60,6 +63,8 @@ def label_per_period(
         F.collect_set(F.struct("period")).alias("periods")
     )
     frequent = term_frequency(corpus, top).select("term", "rank")
+    if top <= BROADCAST_ROWS:
+        frequent = F.broadcast(frequent)
     return (
         _topic_terms(corpus)
         .join(frequent, "term")

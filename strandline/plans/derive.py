@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline import schema as S
-from strandline.functions import fixed_point_mean
+from strandline.functions import fixed_point_mean, threshold_key
 from strandline.sources.corpus import Corpus
 from strandline.sources.workspace import Workspace
 
@@ -73,7 +73,7 @@ _LINKS = T.StructType([*S.SIMILARITY_LINKS.fields, T.StructField("ps", T.Integer
 _SEEN = T.StructType(
     [
         T.StructField("direction", T.StringType()),
-        T.StructField("beta", T.DoubleType()),
+        T.StructField("beta", T.DecimalType(9, 6)),
         T.StructField("ti", T.LongType()),
         T.StructField("n_topics", T.LongType()),
         T.StructField("pivot_evolution", T.DoubleType()),
@@ -256,7 +256,7 @@ def seen_terms(paths: DataFrame, dictionary: DataFrame) -> DataFrame:
     ``shared_mask`` has bit i set when term i of the root occurs in the graph: one
     long per group where a set of strings would be collected otherwise.
     """
-    reach = paths.select(*_KEY, "tk").distinct()
+    reach = paths.withColumn("beta", threshold_key()).select(*_KEY, "tk").distinct()
     other = dictionary.select(F.col("topic_id").alias("tk"), F.col("terms").alias("other_terms"))
     root = dictionary.select(F.col("topic_id").alias("ti"), F.col("terms").alias("root_terms"))
     bits = F.transform(
@@ -301,7 +301,11 @@ def labels(dictionary: DataFrame, seen: DataFrame) -> DataFrame:
     masks = seen.groupBy("beta", "ti").agg(
         mask_of(S.FUTURE).alias("in_future"), mask_of(S.PAST).alias("in_past")
     )
-    topics = _per_threshold(dictionary).withColumnRenamed("topic_id", "ti")
+    topics = (
+        _per_threshold(dictionary)
+        .withColumn("beta", threshold_key())
+        .withColumnRenamed("topic_id", "ti")
+    )
     marked = topics.join(masks, ["beta", "ti"], "left")
 
     def kind(in_past: bool, in_future: bool) -> Column:
@@ -317,7 +321,7 @@ def labels(dictionary: DataFrame, seen: DataFrame) -> DataFrame:
         )
 
     return marked.select(
-        "beta",
+        F.col("beta").cast("double").alias("beta"),
         "ti",
         kind(True, True).alias("stable"),
         kind(False, True).alias("emerging"),
@@ -330,7 +334,7 @@ def statistics(paths: DataFrame, seen: DataFrame, label_rows: DataFrame) -> Data
     """Pivot rows: one per (direction, beta, root) with a non-empty graph."""
     earliest = F.min(F.least("pj", "pk"))
     latest = F.max(F.greatest("pj", "pk"))
-    graphs = paths.groupBy(*_KEY).agg(
+    graphs = paths.withColumn("beta", threshold_key()).groupBy(*_KEY).agg(
         F.count("*").alias("n_edges"),
         F.count_distinct("tj").alias("n_parents"),
         fixed_point_mean(F.lit(1.0) - F.col("sim")).alias("relative_evolution"),
@@ -339,10 +343,10 @@ def statistics(paths: DataFrame, seen: DataFrame, label_rows: DataFrame) -> Data
     )
     return (
         graphs.join(seen, list(_KEY))
-        .join(label_rows, ["beta", "ti"])
+        .join(label_rows.withColumn("beta", threshold_key()), ["beta", "ti"])
         .select(
             "direction",
-            "beta",
+            F.col("beta").cast("double").alias("beta"),
             F.col("ti").alias("topic_id"),
             (F.col("earliest") + FIRST_YEAR).cast("int").alias("start_year"),
             (F.col("latest") + FIRST_YEAR + WINDOW_YEARS - 1).cast("int").alias("end_year"),
