@@ -463,7 +463,7 @@ class DerivedCorpus(Corpus):
                     self.workspace.write(name, hop, layout, sort_by=["ti"])
                     hop = next_hop(self.workspace.read(name, S.PATHS), edges)
                 self._built.add("paths")
-        return self.workspace.read("paths", S.PATHS).select(*S.PATH_COLUMNS)
+        return self.workspace.read("paths", S.PATHS)
 
     def _seen(self) -> DataFrame:
         return self._written(
@@ -471,31 +471,28 @@ class DerivedCorpus(Corpus):
         )
 
     def _labels(self) -> DataFrame:
-        rows = self._written(
+        return self._written(
             "labels",
             S.LABELS,
             lambda: labels(self._dictionary(), self._seen()),
             partition_by=["beta"],
             sort_by=["ti"],
         )
-        return rows.select(*S.LABEL_COLUMNS)
 
     def _pivots(self) -> DataFrame:
-        rows = self._written(
+        return self._written(
             "pivots",
             S.PIVOTS,
             lambda: statistics(self.table("paths"), self._seen(), self.table("labels")),
             partition_by=["direction", "beta"],
             sort_by=["topic_id"],
         )
-        return rows.select(*S.PIVOT_COLUMNS)
 
     def _individuals(self) -> DataFrame:
-        rows = self._written(
+        return self._written(
             "individuals",
             S.INDIVIDUALS,
             lambda: individuals(self._dictionary(), self.table("paths")),
             partition_by=["beta"],
             sort_by=["topic_id"],
         )
-        return rows.select(*S.INDIVIDUALS.fieldNames())

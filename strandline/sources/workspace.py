@@ -61,4 +61,5 @@ class Workspace:
         writer.parquet(self.path(name))
 
     def read(self, name: str, schema: StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        stored = self.spark.read.schema(schema).parquet(self.path(name))
+        return stored.select(*schema.fieldNames())
