@@ -8,8 +8,10 @@ from strandline.functions.columns import (
     rounded_similarity,
     threshold_key,
 )
+from strandline.functions.joins import distinct_keys
 
 __all__ = [
+    "distinct_keys",
     "edge_strength",
     "fixed_point_mean",
     "in_range",

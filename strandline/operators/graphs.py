@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline import schema as S
-from strandline.functions import edge_strength, rounded_similarity, threshold_key
+from strandline.functions import (
+    distinct_keys,
+    edge_strength,
+    rounded_similarity,
+    threshold_key,
+)
 from strandline.sources.corpus import Corpus
 
 
@@ -45,8 +50,8 @@ def subgraphs_of(paths: DataFrame, topics: Iterable[int] | DataFrame) -> DataFra
     literal IN; in both a repeated id does not repeat rows.
     """
     if isinstance(topics, DataFrame):
-        wanted = topics.select(F.col("topic_id").alias("ti")).distinct()
-        return paths.join(wanted, "ti", "left_semi").select(*paths.columns)
+        wanted = topics.select(F.col("topic_id").alias("ti"))
+        return paths.join(distinct_keys(wanted, "ti"), "ti", "left_semi").select(*paths.columns)
     return paths.filter(F.col("ti").isin(*topics))
 
 
@@ -57,10 +62,8 @@ def _as_double(df: DataFrame) -> DataFrame:
 class PivotGraphs:
     """Graphs of the given roots: a DataFrame with ``beta`` and ``topic_id``.
 
-    Copies of a root do not matter: edges are found by a semi-join.  Its right side
-    is left undeduplicated on purpose, because AQE splits a skewed partition (a
-    root whose graph holds much of the table) only between plain exchanges.
-    Inside, the threshold is an exact decimal; it leaves as the double it came as.
+    Edges are found by a semi-join on distinct roots, so copies of a root do not
+    matter, and a root whose graph holds much of the table is split by AQE.  Inside, the threshold is an exact decimal; it leaves as the double it came as.
     """
 
     def __init__(self, corpus: Corpus, root_rows: DataFrame) -> None:
@@ -72,7 +75,7 @@ class PivotGraphs:
 
     def _edges(self) -> DataFrame:
         wanted = self.root_rows.withColumnRenamed("topic_id", "ti")
-        return self._paths().join(wanted, ["beta", "ti"], "left_semi")
+        return self._paths().join(distinct_keys(wanted, "beta", "ti"), ["beta", "ti"], "left_semi")
 
     @staticmethod
     def _graph_key(merged: bool) -> list[Column]:
@@ -170,7 +173,7 @@ class PivotGraphs:
 
     def isolated(self) -> DataFrame:
         """Roots without any edge: their terms and period instead of a graph."""
-        linked = self._paths().select("beta", F.col("ti").alias("topic_id"))
+        linked = self._paths().select("beta", F.col("ti").alias("topic_id")).distinct()
         individuals = self.corpus.individuals().withColumn("beta", threshold_key())
         alone = (
             roots(self.root_rows)

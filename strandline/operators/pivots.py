@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from strandline import schema as S
-from strandline.functions import in_range, mentions, threshold_key
+from strandline.functions import distinct_keys, in_range, mentions, threshold_key
 from strandline.functions.columns import AT_LEAST, AT_MOST
 from strandline.operators import facets, graphs
 from strandline.sources.corpus import Corpus
@@ -174,10 +174,9 @@ class PivotSet:
         """Pivots from which a graph path leads to a pivot of ``other``.
 
         Per threshold and side: future graphs are followed to later topics, past
-        graphs to older ones.  Two semi-joins, so the multiplicity of the rows kept
-        does not change and no pair of pivots is ever built.  The targets stay a
-        plain exchange (a semi-join ignores copies), which lets AQE split a target
-        that many graphs reach; the hits are combined before they are shuffled.
+        graphs to older ones.  Two semi-joins on distinct keys, so the multiplicity
+        of the rows kept does not change and no pair of pivots is ever built; a
+        topic that many graphs reach, or a row with many copies, can be split.
         """
         shared = self.sides & other.sides
         threshold = threshold_key().alias("threshold")
@@ -187,18 +186,19 @@ class PivotSet:
         future, past = F.col("direction") == S.FUTURE, F.col("direction") == S.PAST
         onward = (future & (F.col("ti") < F.col("tk"))) | (past & (F.col("tk") < F.col("ti")))
         in_shared = F.col("direction").isin(*shared) if shared else F.lit(False)
+        reached = ["direction", "threshold", "tk"]
         hits = (
             self.corpus.paths()
             .filter(in_shared & onward)
             .select("direction", threshold, "ti", "tk")
-            .join(targets, ["direction", "threshold", "tk"], "left_semi")
-            .select("direction", "threshold", F.col("ti").alias("topic_id"))
-            .distinct()
+            .join(distinct_keys(targets, *reached), reached, "left_semi")
+            .withColumnRenamed("ti", "topic_id")
         )
+        key = ["direction", "threshold", "topic_id"]
         kept = (
             self._side(*shared)
             .withColumn("threshold", threshold_key())
-            .join(hits, ["direction", "threshold", "topic_id"], "left_semi")
+            .join(distinct_keys(hits, *key), key, "left_semi")
         )
         return self._with(kept, shared)
 

@@ -177,45 +177,3 @@ def test_strength_spans_one_to_ten_and_is_null_at_one(spark):
     df = spark.createDataFrame(rows, "sim double, beta double")
     got = [r.w for r in df.select(edge_strength(F.col("sim"), F.col("beta")).alias("w")).collect()]
     assert got == [1.0, 10.0, 5.5, None]
-
-
-def test_a_hot_root_is_split_and_nothing_is_lost(spark, make_corpus):
-    """One root holds most of the edges: AQE must cut its partition, results whole."""
-    n = 60_000
-    paths = spark.range(n).select(
-        F.lit(F_).alias("direction"),
-        F.lit(0.5).alias("beta"),
-        F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).cast("long").alias("ti"),
-        F.lit(1).cast("long").alias("tj"),
-        (F.col("id") + 100).alias("tk"),
-        F.lit(0).alias("pj"),
-        F.lit(1).alias("pk"),
-        (F.rand(1) / 2 + 0.5).alias("sim"),
-    )
-    folder = spark.conf.get("spark.checkpoint.dir") + "/hot_paths"
-    paths.repartition(16, "tk").write.mode("overwrite").parquet(folder)
-    root_rows = spark.range(n).select(F.lit(0.5).alias("beta"), F.col("id").alias("topic_id"))
-    corpus = make_corpus()
-    corpus._opened["paths"] = spark.read.parquet(folder)
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.shuffle.partitions": "16",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        edges = graphs.PivotGraphs(corpus, root_rows).edges()
-        assert len(edges.collect()) == n
-        plan = edges._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
