@@ -259,13 +259,12 @@ def seen_terms(paths: DataFrame, dictionary: DataFrame) -> DataFrame:
     reach = paths.withColumn("beta", threshold_key()).select(*_KEY, "tk").distinct()
     other = dictionary.select(F.col("topic_id").alias("tk"), F.col("terms").alias("other_terms"))
     root = dictionary.select(F.col("topic_id").alias("ti"), F.col("terms").alias("root_terms"))
-    bits = F.transform(
-        "root_terms",
-        lambda term, i: F.when(
-            F.array_contains(F.col("other_terms"), term), F.pow(F.lit(2.0), i).cast("bigint")
-        ).otherwise(F.lit(0).cast("bigint")),
+    mask = F.expr(
+        """aggregate(
+             transform(root_terms, (term, i) ->
+               if(array_contains(other_terms, term), shiftleft(1L, i), 0L)),
+             0L, (bits, bit) -> bits | bit)"""
     )
-    mask = F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, bit: acc + bit)
     pairs = (
         reach.join(other, "tk")
         .join(root, "ti")
