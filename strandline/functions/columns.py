@@ -36,7 +36,7 @@ def in_range(column: str, value: float, restriction: int) -> Column:
 
 def joined(array_column: str, separator: str = ",") -> Column:
     """Array as one string, in sorted order."""
-    return F.array_join(F.array_sort(F.col(array_column)), separator)
+    return F.array_join(F.sort_array(F.col(array_column)), separator)
 
 
 def threshold_key(beta: str | Column = "beta") -> Column:

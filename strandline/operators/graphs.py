@@ -39,7 +39,7 @@ def topics_by_beta(root_rows: DataFrame, block: int = 1000) -> DataFrame:
         root_rows.select("beta", "topic_id")
         .distinct()
         .groupBy("beta", id_block)
-        .agg(F.array_sort(F.collect_list("topic_id")).alias("topic_ids"))
+        .agg(F.sort_array(F.collect_list("topic_id")).alias("topic_ids"))
     )
 
 

@@ -146,7 +146,7 @@ def topic_nodes(counts: DataFrame, grain: Grain) -> DataFrame:
 
 def topic_dictionary(nodes: DataFrame) -> DataFrame:
     """Terms of each topic, heaviest first; at most ten, so the list is bounded."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "term")))
+    ordered = F.sort_array(F.collect_list(F.struct("position", "term")))
     return nodes.groupBy("topic_id").agg(
         F.transform(ordered, lambda entry: entry["term"]).alias("terms"),
         F.min("period_idx").alias("period_idx"),
@@ -311,7 +311,7 @@ def labels(dictionary: DataFrame, seen: DataFrame) -> DataFrame:
         def has(mask: str, i: Column) -> Column:
             return F.getbit(F.coalesce(F.col(mask), F.lit(0).cast("bigint")), i) == 1
 
-        return F.array_sort(
+        return F.sort_array(
             F.filter(
                 "terms",
                 lambda _, i: (has("in_past", i) == F.lit(in_past))
