@@ -71,11 +71,15 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM paths g JOIN steps s ON s.direction = g.direction AND s.beta = g.beta AND s.a = g.tk""",
     ),
     "reach": (("paths",), "SELECT DISTINCT direction, beta, ti, tk FROM paths"),
-    "common": (
+    "root_terms": (
         ("reach", "nodes"),
+        """SELECT direction, beta, ti, tk, term FROM reach JOIN nodes ON topic_id = ti""",
+    ),
+    "common": (
+        ("root_terms", "nodes"),
+        # its own step, so that topics are never joined on the term alone
         """SELECT direction, beta, ti, tk, r.term
-        FROM reach JOIN nodes r ON r.topic_id = ti
-        JOIN nodes o ON o.topic_id = tk AND o.term = r.term""",
+        FROM root_terms r JOIN nodes o ON o.topic_id = tk AND o.term = r.term""",
     ),
     "closeness": (
         ("reach", "common", "topics"),
@@ -171,7 +175,7 @@ def _with(body: str, *reads: str) -> str:
 
     for name in reads:
         visit(name)
-    steps = ",\n".join(f"{name} AS ({_STEPS[name][1]})" for name in ordered)
+    steps = ",\n".join(f"{name} AS {'MATERIALIZED ' if name == 'root_terms' else ''}({_STEPS[name][1]})" for name in ordered)
     return f"WITH RECURSIVE {steps}\n{body}"
 
 
