@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import host_rules
+from strandline.llm import host_rules, rank_bpe, wu_manber
 from strandline.llm.scratch import documents
 from strandline.llm.twins import TWINS
 
+#: Vocabulary files of the public tokenizers.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +30,27 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[m[c].alias(c) for c in columns])
 
 
-_QUERIES: tuple[Query, ...] = (op2_host_rules,)
+def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows; see ``wu_manber.occurrences``."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits, found = wu_manber.occurrences(documents(spark, sf_dir), benchmark, carry=("doc_id",))
+    n_hit = wu_manber.n_hit(found)
+    return hits.select(
+        "doc_id",
+        F.col(found)["n_words"].alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size(F.col(found)["items"]).cast("bigint").alias("n_items"),
+        wu_manber.digest(found).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return rank_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
+_QUERIES: tuple[Query, ...] = (op2_host_rules, op4_wu_manber, op7_rank_bpe)
 
 
 def queries() -> dict[str, Query]:

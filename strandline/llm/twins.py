@@ -64,4 +64,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
-TWINS: dict[str, str] = {"op2_host_rules": OP2}
+OP4 = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+),
+item_words AS (
+  SELECT item_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+),
+patterns AS (
+  SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS w
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+        FROM item_words WHERE len(ws) > 0)
+),
+windows AS (
+  SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+        FROM doc_words, (SELECT DISTINCT m FROM patterns) WHERE len(ws) >= m)
+),
+found AS (SELECT DISTINCT doc_id, m, i, item_id FROM windows JOIN patterns USING (m, w)),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
+),
+hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM (SELECT DISTINCT doc_id, m, i FROM found))
+  GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+TWINS: dict[str, str] = {"op2_host_rules": OP2, "op4_wu_manber": OP4}
