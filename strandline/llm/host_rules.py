@@ -175,6 +175,7 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", policy: Ho
     clash with the new ones: they are in one struct with an unused name.
     """
     name, key = unused(docs.columns, "quality"), unused(docs.columns, "host_key")
+    host_at = unused(docs.columns, "of_host")
     carried = docs.columns if carry is None else list(carry)
     measured = docs.select(
         *[F.col(f"`{c}`") for c in carried],
@@ -187,9 +188,9 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", policy: Ho
     failed = rules["short"] | rules["repeats"] | rules["symbols"] | rules["dup_lines"]
     base_failed = rules["short"] | rules["repeats"]
     hosts = host_table(scored, policy, key, failed)
-    of_host = F.struct("n", "failed", "rate", "verdict").alias("of_host")
+    of_host = F.struct("n", "failed", "rate", "verdict").alias(host_at)
     joined = scored.join(hosts.select(key, of_host), key)
-    h = F.col("of_host")
+    h = F.col(host_at)
     kept = ~base_failed & (h["verdict"] != "blocked") & ((h["verdict"] == "ok") | ~failed)
     out = F.struct(
         *[m[c].alias(c) for c in MEASURES],

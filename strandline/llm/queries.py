@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import host_rules, rank_bpe, wu_manber
+from strandline.llm import host_rules, line_templates, prob_minhash, rank_bpe, wu_manber
 from strandline.llm.scratch import documents
 from strandline.llm.twins import TWINS
 
@@ -18,6 +18,13 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without recurring lines; see ``line_templates``."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    cleaned, lines = line_templates.without_recurring_lines(docs)
+    return cleaned.select("doc_id", "text", F.col(lines)["n_lines"].alias("n_lines"), F.col(lines)["n_dropped"].alias("n_dropped"))
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document and whether it is kept; see ``host_rules.judged``."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
@@ -30,6 +37,11 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[m[c].alias(c) for c in columns])
 
 
+def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document; see ``prob_minhash.near_duplicates``."""
+    return prob_minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows; see ``wu_manber.occurrences``."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -50,7 +62,7 @@ def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
-_QUERIES: tuple[Query, ...] = (op2_host_rules, op4_wu_manber, op7_rank_bpe)
+_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op7_rank_bpe)
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def pieces(table: pa.Table | pa.RecordBatch, column: str, most: int = 2_000_000)
 
     Bounds the memory of array work on a batch without splitting any text.
     """
-    lengths = pa.compute.binary_length(table.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(table.column(column)).fill_null(0).to_pylist()
     first, held = 0, 0
     for row, length in enumerate(lengths):
         if held and held + length > most:
