@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import host_rules, line_templates, prob_minhash, rank_bpe, wu_manber
+from strandline.llm import (
+    host_rules,
+    line_templates,
+    prob_minhash,
+    rank_bpe,
+    repair,
+    token_counts,
+    wu_manber,
+)
 from strandline.llm.scratch import documents
 from strandline.llm.twins import TWINS
 
@@ -62,7 +70,19 @@ def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
-_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op7_rank_bpe)
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
+
+
+def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the shards."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    shards = repair.write_shards(docs, public_tokenizers.path(WORD_BPE), end_id=1)
+    return repair.documents_in(shards).withColumnRenamed("id", "doc_id")
+
+
+_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op7_rank_bpe, op9_token_counts, op10_repair)
 
 
 def queries() -> dict[str, Query]:

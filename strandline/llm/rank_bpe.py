@@ -15,7 +15,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -41,6 +41,10 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to SP
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in ids)
+
+
 class RankMerger:
     """Merges the symbols of a word by the ranks of adjacent pairs."""
 
@@ -110,7 +114,8 @@ class WordCoder(dict):
     """Encodes and decodes texts as a lower-casing vocabulary with word ends does.
 
     As a dict it maps a piece without white space to (number of tokens, ids joined by
-    spaces, tokens joined by spaces), filled on first use.
+    spaces, tokens joined by spaces, ids as little-endian 32-bit numbers), filled on
+    first use.
     """
 
     def __init__(self, spec: bytes) -> None:
@@ -132,28 +137,28 @@ class WordCoder(dict):
             return _WORD.findall(piece.lower())
         return [word for word, _ in self.split(self.normalise(piece))]
 
-    def __missing__(self, piece: str) -> tuple[int, str, str]:
+    def __missing__(self, piece: str) -> tuple[int, str, str, bytes]:
         tokens: list[str] = []
         for word in self.words_of(piece):
             # a part that is no token has no id and leaves nothing
             tokens += [p for p in self.merger.parts(word) if p in self.ids]
         ids = [str(self.ids[t]) for t in tokens]
         # decoded from the ids, not from the tokens above
-        found = self[piece] = (len(ids), " ".join(ids), " ".join(self.tokens[int(i)] for i in ids))
+        found = self[piece] = (len(ids), " ".join(ids), " ".join(self.tokens[int(i)] for i in ids), _packed(map(int, ids)))
         return found
 
-    def encoded(self, text: str) -> list[tuple[int, str, str]]:
+    def encoded(self, text: str) -> list[tuple[int, str, str, bytes]]:
         """The entries of all pieces of a text, in order."""
         if len(self) > REMEMBERED:
             self.clear()
         if "<" in text and self.at_special and self.at_special.search(text):
-            out: list[tuple[int, str, str]] = []
+            out: list[tuple[int, str, str, bytes]] = []
             for k, part in enumerate(self.at_special.split(text)):
-                out += [(1, str(self.special[part]), part)] if k % 2 else self._plain(part)
+                out += [(1, str(self.special[part]), part, _packed([self.special[part]]))] if k % 2 else self._plain(part)
             return out
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[tuple[int, str, str]]:
+    def _plain(self, text: str) -> list[tuple[int, str, str, bytes]]:
         cut = _BLACK.findall(text) if _SEPARATORS.search(text) else text.split()
         return list(map(self.__getitem__, cut))
 
