@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import (
+    context_tree,
     host_rules,
     line_templates,
     prob_minhash,
@@ -70,6 +71,13 @@ def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by single words and by context-tree weighting."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = context_tree.held_out_by_id()
+    return context_tree.scores(docs, context_tree.train(docs, "text", held_out), held_out)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
@@ -82,7 +90,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.documents_in(shards).withColumnRenamed("id", "doc_id")
 
 
-_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op7_rank_bpe, op9_token_counts, op10_repair)
+_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op7_rank_bpe, op8_context_tree, op9_token_counts, op10_repair)
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -80,3 +80,28 @@ def pieces(table: pa.Table | pa.RecordBatch, column: str, most: int = 2_000_000)
         held += length + 1
     if first < len(lengths):
         yield first, len(lengths)
+
+
+class Remembered(dict):
+    """A cache of ``make(key)`` in two generations, for a worker's lifetime.
+
+    What was used since the last ``turn`` survives it, so frequent keys stay while
+    the memory is bounded by twice ``most`` entries.
+    """
+
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()

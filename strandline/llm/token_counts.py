@@ -24,34 +24,36 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from strandline.llm.rank_bpe import SPACE, vocabulary
-from strandline.llm.scratch import keep, ship
+from strandline.llm.scratch import Remembered, keep, ship
 
-#: Entries of the broadcast table, of a task's summary, of a worker's cache; and the
+#: Entries of the broadcast table, of a task's summary, of a generation of a worker's cache; and the
 #: longest pre-token that the first two hold, which bounds their bytes.
-FREQUENT, SUMMARY, REMEMBERED, LONGEST = 65_536, 16_384, 400_000, 64
+FREQUENT, SUMMARY, REMEMBERED, LONGEST = 65_536, 16_384, 300_000, 64
 
 _PRE_TOKEN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-class Lengths(dict):
-    """pre-token -> number of tokens; misses are encoded and remembered."""
+class Lengths:
+    """Counts the tokens of texts from both tiers."""
 
     def __init__(self, spec: bytes, table: bytes | None = None) -> None:
-        super().__init__()
         self.library = Tokenizer.from_str(spec.decode())
         self.library.no_truncation()
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.frequent: dict[str, int] = {}
+        self.lengths = Remembered(self._encoded, REMEMBERED)
         if table:
             read = pa.ipc.open_stream(table).read_all()
             self.frequent = dict(zip(read["piece"].to_pylist(), read["n"].to_pylist()))
-        self.update(self.frequent)
+            self.lengths.make = self._known
 
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self.library.encode(piece, add_special_tokens=False).ids)
-        return n
+    def _known(self, piece: str) -> int:
+        n = self.frequent.get(piece)
+        return self._encoded(piece) if n is None else n
+
+    def _encoded(self, piece: str) -> int:
+        return len(self.library.encode(piece, add_special_tokens=False).ids)
 
     def cut(self, text: str) -> tuple[list[str], int]:
         """(pre-tokens, number of special tokens between them)."""
@@ -61,11 +63,9 @@ class Lengths(dict):
         return _PRE_TOKEN.findall(text), 0
 
     def count(self, text: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.update(self.frequent)
+        self.lengths.turn()
         found, special = self.cut(text)
-        return sum(map(self.__getitem__, found)) + special
+        return sum(map(self.lengths.__getitem__, found)) + special
 
 
 @lru_cache(maxsize=2)
@@ -94,7 +94,7 @@ def _measured(spec):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(spec.value, None)
         for batch in batches:
-            n = [lengths[p] for p in batch.column("piece").to_pylist()]
+            n = [lengths.lengths[p] for p in batch.column("piece").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(n, pa.int32())], ["piece", "n"])
 
     return measure
