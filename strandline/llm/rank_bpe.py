@@ -25,20 +25,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from strandline.llm.scratch import pieces, ship
+from strandline.llm.scratch import Remembered, pieces, ship
 
 SHORT = 200
-#: Pieces a worker remembers before it forgets all of them.
-REMEMBERED = 250_000
+#: Pieces and words a worker remembers; see ``scratch.Remembered``.
+REMEMBERED = 150_000
 
 # Unicode white space as the vocabularies mean it (fixed value).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BLACK = re.compile(f"[^{SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to SPACE
 
-# How a lower-case ASCII piece is split into words (fixed value); other pieces are
+# How a lower-case piece of Latin-1 is split into words (fixed value); other pieces are
 # left to the library, whose Unicode tables are the ones that count.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{SPACE}{_LETTERS}{_DIGITS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies:
+    itself where it is printable Latin-1, else the next free letter from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(free)) for b in range(256)}
 
 
 def _packed(ids: Iterable[int]) -> bytes:
@@ -110,47 +119,48 @@ class RankMerger:
         return [whole[bounds[i] : end[i]] for i in range(n) if alive[i]]
 
 
-class WordCoder(dict):
+class WordCoder:
     """Encodes and decodes texts as a lower-casing vocabulary with word ends does.
 
-    As a dict it maps a piece without white space to (number of tokens, ids joined by
-    spaces, tokens joined by spaces, ids as little-endian 32-bit numbers), filled on
-    first use.
+    ``entries`` maps a piece without white space to (number of tokens, ids joined by
+    spaces, tokens joined by spaces, ids as little-endian 32-bit numbers).
     """
 
     def __init__(self, spec: bytes) -> None:
-        super().__init__()
         tree = json.loads(spec)
         model = tree["model"]
-        self.ids: dict[str, int] = model["vocab"]
+        self.vocabulary: dict[str, int] = model["vocab"]
         self.merger = RankMerger(model["merges"], model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in tree["added_tokens"]}
-        self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.tokens = {i: t for t, i in [*self.vocabulary.items(), *self.special.items()]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.letters = byte_letters()
         library = Tokenizer.from_str(spec.decode())
         self.normalise = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
+        self.entries = Remembered(self._entry, REMEMBERED)
+        self.words = Remembered(self._tokens_of, REMEMBERED)
 
     def words_of(self, piece: str) -> list[str]:
         """The normalised words of a piece, in the letters that stand for bytes."""
-        if piece.isascii() and piece.isprintable():
-            return _WORD.findall(piece.lower())
+        if max(piece) <= "\xff":
+            found = _WORD.findall(piece.lower())
+            return found if piece.isascii() and piece.isprintable() else [w.encode().decode("latin-1").translate(self.letters) for w in found]
         return [word for word, _ in self.split(self.normalise(piece))]
 
-    def __missing__(self, piece: str) -> tuple[int, str, str, bytes]:
-        tokens: list[str] = []
-        for word in self.words_of(piece):
-            # a part that is no token has no id and leaves nothing
-            tokens += [p for p in self.merger.parts(word) if p in self.ids]
-        ids = [str(self.ids[t]) for t in tokens]
+    def _tokens_of(self, word: str) -> list[str]:
+        # a part that is no token has no id and leaves nothing
+        return [part for part in self.merger.parts(word) if part in self.vocabulary]
+
+    def _entry(self, piece: str) -> tuple[int, str, str, bytes]:
+        ids = [self.vocabulary[token] for word in self.words_of(piece) for token in self.words[word]]
         # decoded from the ids, not from the tokens above
-        found = self[piece] = (len(ids), " ".join(ids), " ".join(self.tokens[int(i)] for i in ids), _packed(map(int, ids)))
-        return found
+        return len(ids), " ".join(map(str, ids)), self.decode(ids), _packed(ids)
 
     def encoded(self, text: str) -> list[tuple[int, str, str, bytes]]:
         """The entries of all pieces of a text, in order."""
-        if len(self) > REMEMBERED:
-            self.clear()
+        self.entries.turn()
+        self.words.turn()
         if "<" in text and self.at_special and self.at_special.search(text):
             out: list[tuple[int, str, str, bytes]] = []
             for k, part in enumerate(self.at_special.split(text)):
@@ -160,7 +170,7 @@ class WordCoder(dict):
 
     def _plain(self, text: str) -> list[tuple[int, str, str, bytes]]:
         cut = _BLACK.findall(text) if _SEPARATORS.search(text) else text.split()
-        return list(map(self.__getitem__, cut))
+        return list(map(self.entries.__getitem__, cut))
 
     def ids_of(self, text: str) -> list[int]:
         return [int(i) for entry in self.encoded(text) for i in entry[1].split()]
