@@ -12,9 +12,11 @@ from strandline.llm import (
     context_tree,
     host_rules,
     line_templates,
+    ordinal,
     prob_minhash,
     rank_bpe,
     repair,
+    surrogates,
     token_counts,
     wu_manber,
 )
@@ -66,6 +68,26 @@ def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document, and whether it is kept."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = ordinal.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored, grade = ordinal.scores(docs, model)
+    columns = ("expected_grade", "tail_probability", "kept")
+    return scored.select("doc_id", *[F.col(grade)[c].alias(c) for c in columns])
+
+
+#: The key that surrogates are derived from; a deployment sets its own.
+PII_KEY = "strandline"
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced by surrogates."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    cleaned, count = surrogates.with_surrogates(docs, PII_KEY)
+    return cleaned.select("doc_id", "text", F.col(count).alias("n_entities"))
+
+
 def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return rank_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
@@ -90,7 +112,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.documents_in(shards).withColumnRenamed("id", "doc_id")
 
 
-_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op7_rank_bpe, op8_context_tree, op9_token_counts, op10_repair)
+_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op5_ordinal, op6_surrogates, op7_rank_bpe, op8_context_tree, op9_token_counts, op10_repair)
 
 
 def queries() -> dict[str, Query]:
