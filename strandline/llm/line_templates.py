@@ -63,8 +63,8 @@ def without_recurring_lines(
 
     The first document of a template, by ``order`` with NULLs last, then by its text's
     hash, keeps its lines.  A NULL text stays NULL and has no lines; an empty text has
-    one blank line; blank lines are never dropped.  Repeated rows count as documents of
-    their own, but have equal results: if one is first, all are.
+    one blank line; blank lines are never dropped.  Repeated rows count as one document
+    and have equal results: if one is first, all are.
     """
     name, key = unused(docs.columns, "lines"), unused(docs.columns, "line_key")
     gone_at, split_at = unused(docs.columns, "lines_gone"), unused(docs.columns, "lines_split")

@@ -15,7 +15,8 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -29,7 +30,7 @@ from strandline.llm.scratch import Remembered, pieces, ship
 
 SHORT = 200
 #: Pieces and words a worker remembers; see ``scratch.Remembered``.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 # Unicode white space as the vocabularies mean it (fixed value).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -50,87 +51,91 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(free)) for b in range(256)}
 
 
-def _packed(ids: Iterable[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
-
-
 class RankMerger:
-    """Merges the symbols of a word by the ranks of adjacent pairs."""
+    """Merges the symbols of a word by the ranks of adjacent pairs.
 
-    def __init__(self, merges: list, suffix: str = "") -> None:
-        pairs = (m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges)
-        self.rank = {(a, b): n for n, (a, b) in enumerate(pairs)}
-        self.never = len(self.rank)
-        self.suffix = suffix
+    ``parts`` holds the id of the part between two boundaries; deleting a boundary
+    joins its part to the one before.
+    """
 
-    def parts(self, word: str) -> list[str]:
-        """The merged parts of a word; the suffix belongs to its last symbol."""
+    def __init__(self, merges: list, vocabulary: dict[str, int], suffix: str = "") -> None:
+        self.vocabulary, self.suffix = vocabulary, suffix
+        self.rank: dict[int, int] = {}
+        self.joined: list[int] = []
+        for merge in merges:
+            left, right = merge if isinstance(merge, (list, tuple)) else merge.split(" ")
+            self.rank[vocabulary[left] << 24 | vocabulary[right]] = len(self.joined)
+            self.joined.append(vocabulary[left + right])
+        self.never = len(self.joined)
+        # a symbol that is no token gets an id that no pair has
+        self.unknown = (1 << 24) - 1
+        self.within = {c: i for c, i in vocabulary.items() if len(c) == 1}
+        self.final = {c: vocabulary.get(c + suffix, self.unknown) for c in self.within}
+
+    def ids(self, word: str) -> list[int]:
+        """Ids of the merged parts; the suffix belongs to the last symbol."""
         if not word:
             return []
-        whole, bounds = word + self.suffix, list(range(len(word)))
-        bounds.append(len(whole))
-        return self._scan(whole, bounds) if len(word) <= SHORT else self._queue(whole, bounds)
-
-    def _scan(self, whole: str, bounds: list[int]) -> list[str]:
-        rank, never = self.rank, self.never
-
-        def between(i: int) -> int:  # of the parts that begin at the boundaries i and i + 1
-            left = whole[bounds[i] : bounds[i + 1]]
-            return rank.get((left, whole[bounds[i + 1] : bounds[i + 2]]), never)
-
-        ranks = [between(i) for i in range(len(bounds) - 2)]
+        parts = [self.within.get(c, self.unknown) for c in word]
+        parts[-1] = self.final.get(word[-1], self.unknown)
+        parts = self._scan(parts) if len(parts) <= SHORT else self._queue(parts)
+        return parts if self.unknown not in parts else [p for p in parts if p != self.unknown]
+
+    def _scan(self, parts: list[int]) -> list[int]:
+        rank, never, joined = self.rank.get, self.never, self.joined
+        ranks = [rank(a << 24 | b, never) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == never:
                 break
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
+            part = parts[i] = joined[least]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = between(i - 1)
+                ranks[i - 1] = rank(parts[i - 1] << 24 | part, never)
             if i < len(ranks):
-                ranks[i] = between(i)
-        return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
+                ranks[i] = rank(part << 24 | parts[i + 1], never)
+        return parts
 
-    def _queue(self, whole: str, bounds: list[int]) -> list[str]:
+    def _queue(self, parts: list[int]) -> list[int]:
         """The same merges for a long word: smallest rank first, then leftmost."""
-        n = len(bounds) - 1
-        end, before, after = bounds[1:], list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        todo: list[tuple[int, int, int, int]] = []
 
-        def pair(i: int):
+        def pair(i: int) -> None:
             j = after[i]
-            if j < n and (r := self.rank.get((whole[bounds[i] : end[i]], whole[bounds[j] : end[j]]))) is not None:
-                heapq.heappush(todo, (r, i, end[i], end[j]))
+            if j < n and (r := self.rank.get(parts[i] << 24 | parts[j])) is not None:
+                heapq.heappush(todo, (r, i, parts[i], parts[j]))
 
-        todo: list = []
         for i in range(n):
             pair(i)
         while todo:
-            _, i, middle, last = heapq.heappop(todo)
+            r, i, left, right = heapq.heappop(todo)
             j = after[i]
-            if not alive[i] or end[i] != middle or j >= n or end[j] != last:
+            if parts[i] != left or j >= n or parts[j] != right:
                 continue
-            alive[j], end[i], after[i] = False, last, after[j]
+            parts[i], parts[j], after[i] = self.joined[r], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             pair(i)
             if before[i] >= 0:
                 pair(before[i])
-        return [whole[bounds[i] : end[i]] for i in range(n) if alive[i]]
+        return [p for p in parts if p >= 0]
 
 
 class WordCoder:
     """Encodes and decodes texts as a lower-casing vocabulary with word ends does.
 
     ``entries`` maps a piece without white space to (number of tokens, ids joined by
-    spaces, tokens joined by spaces, ids as little-endian 32-bit numbers).
+    spaces, tokens joined by spaces); ``packed`` to ids as little-endian 32-bit numbers.
     """
 
     def __init__(self, spec: bytes) -> None:
         tree = json.loads(spec)
         model = tree["model"]
         self.vocabulary: dict[str, int] = model["vocab"]
-        self.merger = RankMerger(model["merges"], model["end_of_word_suffix"] or "")
+        self.merger = RankMerger(model["merges"], self.vocabulary, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in tree["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocabulary.items(), *self.special.items()]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -139,7 +144,9 @@ class WordCoder:
         self.normalise = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.entries = Remembered(self._entry, REMEMBERED)
-        self.words = Remembered(self._tokens_of, REMEMBERED)
+        self.packed = Remembered(self._packed, REMEMBERED)
+        self.words = Remembered(self._word, REMEMBERED)
+        self.packed_words = Remembered(lambda word: array("I", self.merger.ids(word)).tobytes(), REMEMBERED)
 
     def words_of(self, piece: str) -> list[str]:
         """The normalised words of a piece, in the letters that stand for bytes."""
@@ -148,29 +155,48 @@ class WordCoder:
             return found if piece.isascii() and piece.isprintable() else [w.encode().decode("latin-1").translate(self.letters) for w in found]
         return [word for word, _ in self.split(self.normalise(piece))]
 
-    def _tokens_of(self, word: str) -> list[str]:
-        # a part that is no token has no id and leaves nothing
-        return [part for part in self.merger.parts(word) if part in self.vocabulary]
+    def _word(self, word: str) -> tuple[int, str, str]:
+        ids = self.merger.ids(word)
+        # decoded from the ids, not from the word
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def _entry(self, piece: str) -> tuple[int, str, str]:
+        if piece in self.special:
+            return 1, str(self.special[piece]), self.tokens[self.special[piece]]
+        words = [self.words[w] for w in self.words_of(piece)]
+        if len(words) == 1:
+            return words[0]
+        words = [w for w in words if w[0]]
+        return sum([w[0] for w in words]), " ".join([w[1] for w in words]), " ".join([w[2] for w in words])
+
+    def _packed(self, piece: str) -> bytes:
+        if piece in self.special:
+            return self.special[piece].to_bytes(4, "little")
+        return b"".join(map(self.packed_words.__getitem__, self.words_of(piece)))
+
+    def _pieces(self, text: str) -> list[str]:
+        """White space cut out; a special token in the text is a piece of its own."""
+        if "<" in text and self.at_special and self.at_special.search(text):
+            out: list[str] = []
+            for k, part in enumerate(self.at_special.split(text)):
+                out += [part] if k % 2 else self._plain(part)
+            return out
+        return self._plain(text)
 
-    def _entry(self, piece: str) -> tuple[int, str, str, bytes]:
-        ids = [self.vocabulary[token] for word in self.words_of(piece) for token in self.words[word]]
-        # decoded from the ids, not from the tokens above
-        return len(ids), " ".join(map(str, ids)), self.decode(ids), _packed(ids)
+    def _plain(self, text: str) -> list[str]:
+        return _BLACK.findall(text) if _SEPARATORS.search(text) else text.split()
 
-    def encoded(self, text: str) -> list[tuple[int, str, str, bytes]]:
+    def encoded(self, text: str) -> list[tuple[int, str, str]]:
         """The entries of all pieces of a text, in order."""
         self.entries.turn()
         self.words.turn()
-        if "<" in text and self.at_special and self.at_special.search(text):
-            out: list[tuple[int, str, str, bytes]] = []
-            for k, part in enumerate(self.at_special.split(text)):
-                out += [(1, str(self.special[part]), part, _packed([self.special[part]]))] if k % 2 else self._plain(part)
-            return out
-        return self._plain(text)
+        return list(map(self.entries.__getitem__, self._pieces(text)))
 
-    def _plain(self, text: str) -> list[tuple[int, str, str, bytes]]:
-        cut = _BLACK.findall(text) if _SEPARATORS.search(text) else text.split()
-        return list(map(self.entries.__getitem__, cut))
+    def packed_ids(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers."""
+        self.packed.turn()
+        self.packed_words.turn()
+        return b"".join(map(self.packed.__getitem__, self._pieces(text)))
 
     def ids_of(self, text: str) -> list[int]:
         return [int(i) for entry in self.encoded(text) for i in entry[1].split()]

@@ -215,7 +215,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, text: str = "text", or
         for batch in batches:
             kind = batch.schema.field("id").type
             for name, value in zip(batch.column("id"), batch.column("t")):
-                ids.append(b"".join([e[3] for e in words.encoded(value.as_py() or "")]) + end)
+                ids.append(words.packed_ids(value.as_py() or "") + end)
                 names.append(name.as_py())
                 held += len(ids[-1]) // 4
                 if held >= shard:

@@ -164,6 +164,10 @@ def surrogate(secret: str) -> Column:
     # a key keeps its prefix of four letters
     key = f"concat(substr(value, 1, 4), {_in_format('substr(value, 5)')})"
 
+    # a telephone number keeps its country code, a bank account its country
+    phone = let("cc", r"regexp_extract(value, '^[+][0-9]{1,3}(?=[ .(-])', 0)", f"concat(cc, {_in_format('substr(value, length(cc) + 1)')})")
+    iban = f"concat(substr(value, 1, 2), {_in_format('substr(value, 3)')})"
+
     def picked(words: str, at: int) -> str:
         listed = words.split()
         return f"element_at(array({', '.join(map(_sql, listed))}), cast({number.format(a=at, n=len(listed))} AS int) + 1)"
@@ -177,7 +181,7 @@ def surrogate(secret: str) -> Column:
     )
     body = (
         f"CASE WHEN kind = 'email' THEN {email} WHEN kind = 'ip' THEN {ip} WHEN kind = 'card' THEN {card}"
-        f" WHEN kind = 'key' THEN {key} {family} {given} ELSE {_in_format('value')} END"
+        f" WHEN kind = 'key' THEN {key} WHEN kind = 'phone' THEN {phone} WHEN kind = 'iban' THEN {iban} {family} {given} ELSE {_in_format('value')} END"
     )
     return F.expr(let("h", digest, body))
 
