@@ -83,7 +83,7 @@ def main() -> None:
         app_name="strandline-bench",
         master=f"local[{cpus}]",
         shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
-        **{"spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
+        **{"spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
 

@@ -34,18 +34,22 @@ def in_range(column: str, value: float, restriction: int) -> Column:
     return bounded >= F.lit(value) if restriction == AT_LEAST else bounded <= F.lit(value)
 
 
-def joined(array_column: str, separator: str = ",") -> Column:
-    """Array as one string, in sorted order."""
-    return F.array_join(F.sort_array(F.col(array_column)), separator)
+def joined(array_column: str, separator: str = ",", stored_order: bool = False) -> Column:
+    """Array as one string, in sorted order or in the order it is stored in."""
+    items = F.col(array_column)
+    return F.array_join(items if stored_order else F.sort_array(items), separator)
 
 
 def threshold_key(beta: str | Column = "beta") -> Column:
-    """A threshold as an exact decimal, for use as a join or grouping key.
+    """A threshold as a string, for use as a join or grouping key.
 
     Spark normalises floating-point keys separately in every operator, so an
-    aggregate and a join on a double never share an exchange; on a decimal they do.
+    aggregate and a join on a double never share an exchange; on a string they do.
+    The string is the shortest that reads back as the same double, so different
+    thresholds stay different; adding zero makes one of the two zeros.
     """
-    return F.col(beta).cast("decimal(9,6)") if isinstance(beta, str) else beta.cast("decimal(9,6)")
+    value = F.col(beta) if isinstance(beta, str) else beta
+    return (value.cast("double") + F.lit(0.0)).cast("string")
 
 
 def rounded_similarity(sim: Column) -> Column:

@@ -47,11 +47,16 @@ def subgraphs_of(paths: DataFrame, topics: Iterable[int] | DataFrame) -> DataFra
     """Path rows of the graphs rooted in the given topics.
 
     A DataFrame of ids (column ``topic_id``) becomes a semi-join, a Python list a
-    literal IN; in both a repeated id does not repeat rows.
+    literal IN; in both a repeated id does not repeat rows.  If the DataFrame has a
+    ``beta``, a topic selects its graph at that threshold only.
     """
     if isinstance(topics, DataFrame):
-        wanted = topics.select(F.col("topic_id").alias("ti"))
-        return paths.join(distinct_keys(wanted, "ti"), "ti", "left_semi").select(*paths.columns)
+        wanted, on = topics.select(F.col("topic_id").alias("ti")), ["ti"]
+        if "beta" in topics.columns:
+            wanted = topics.select(threshold_key().alias("threshold"), F.col("topic_id").alias("ti"))
+            paths, on = paths.withColumn("threshold", threshold_key()), ["threshold", "ti"]
+        found = paths.join(distinct_keys(wanted, *on), on, "left_semi")
+        return found.select(*[c for c in paths.columns if c != "threshold"])
     return paths.filter(F.col("ti").isin(*topics))
 
 
@@ -63,7 +68,8 @@ class PivotGraphs:
     """Graphs of the given roots: a DataFrame with ``beta`` and ``topic_id``.
 
     Edges are found by a semi-join on distinct roots, so copies of a root do not
-    matter, and a root whose graph holds much of the table is split by AQE.  Inside, the threshold is an exact decimal; it leaves as the double it came as.
+    matter, and a root whose graph holds much of the table is split by AQE.  Inside,
+    the threshold is an exact key; it leaves as the double it came as.
     """
 
     def __init__(self, corpus: Corpus, root_rows: DataFrame) -> None:
@@ -150,7 +156,7 @@ class PivotGraphs:
             return F.count_if(F.col("direction") == direction)
 
         counted = (
-            self._paths()
+            self._edges()
             .groupBy("beta", F.col("ti").alias("topic_id"))
             .agg(edges_in(S.FUTURE).alias("n_future"), edges_in(S.PAST).alias("n_past"))
         )
@@ -173,7 +179,7 @@ class PivotGraphs:
 
     def isolated(self) -> DataFrame:
         """Roots without any edge: their terms and period instead of a graph."""
-        linked = self._paths().select("beta", F.col("ti").alias("topic_id")).distinct()
+        linked = self._edges().select("beta", F.col("ti").alias("topic_id")).distinct()
         individuals = self.corpus.individuals().withColumn("beta", threshold_key())
         alone = (
             roots(self.root_rows)

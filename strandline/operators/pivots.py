@@ -32,6 +32,8 @@ class PivotSet:
         self.corpus = corpus
         self.rows = rows.select(*S.PIVOT_COLUMNS)
         self.sides = frozenset(sides)
+        if self.sides < set(S.DIRECTIONS):  # a missing side has no rows, whatever was passed
+            self.rows = self.rows.filter(F.col("direction").isin(*sorted(self.sides)))
 
     @classmethod
     def load(cls, corpus: Corpus) -> PivotSet:
@@ -251,7 +253,9 @@ class PivotSet:
     def describe(self, *columns: str) -> DataFrame:
         """count, mean, sample stddev, min and max per side and numeric column.
 
-        All columns are aggregated in one pass over the rows.
+        All columns are aggregated in one pass over the rows.  A side that is present
+        but empty counts 0 and has NULL measures; a missing side has no rows.  Columns
+        that are not numeric are left out.
         """
         chosen = [
             c
@@ -272,12 +276,15 @@ class PivotSet:
             aggregates += [
                 measure(c).cast("double").alias(f"{c}:{name}") for name, measure in measures.items()
             ]
-        per_side = self.rows.groupBy("direction").agg(*aggregates)
+        sides = F.array(*[F.lit(side) for side in sorted(self.sides)]).cast("array<string>")
+        present = self.rows.sparkSession.range(1).select(F.explode(sides).alias("direction"))
+        per_side = present.join(self.rows.groupBy("direction").agg(*aggregates), "direction", "left")
         entries = F.array(
             *[
                 F.struct(
                     F.lit(c).alias("metric"),
-                    *[F.col(f"`{c}:{name}`").alias(name) for name in ("count", *measures)],
+                    F.coalesce(F.col(f"`{c}:count`"), F.lit(0)).cast("bigint").alias("count"),
+                    *[F.col(f"`{c}:{name}`").alias(name) for name in measures],
                 )
                 for c in chosen
             ]

@@ -21,7 +21,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,22 +32,48 @@ from strandline.functions import fixed_point_mean, threshold_key
 from strandline.sources.corpus import Corpus
 from strandline.sources.workspace import Workspace
 
-FIRST_YEAR = 1995
 WINDOW_YEARS = 3
-N_PERIODS = 5
-TOP_TERMS = 10
 BETAS = (0.2, 0.3, 0.5)
 
 
+#: Vocabulary ids leave this many places per topic; a mask of labels has 63 usable bits.
+PLACES, MASK_BITS = 100, 63
+
+
 @dataclass(frozen=True)
 class Grain:
-    """topic_id = period * stride + collection * width + subtopic: ids grow with time."""
+    """topic_id = period * stride + collection * width + subtopic: ids grow with time.
+
+    ``top_terms`` is what makes a topic: its most frequent terms, that many.
+    """
 
     name: str
     collection: str
     subtopic: str
     width: int
     stride: int
+    top_terms: int = 10
+
+    def __post_init__(self) -> None:
+        if not 0 < self.top_terms <= min(MASK_BITS, PLACES - 1):
+            raise ValueError(f"a topic has 1 to {min(MASK_BITS, PLACES - 1)} terms, not {self.top_terms}")
+
+
+@dataclass(frozen=True)
+class Calendar:
+    """The periods: windows of three years, one beginning every year of the data."""
+
+    first_year: int
+    n_periods: int
+
+    @classmethod
+    def of(cls, lineitem: DataFrame) -> Calendar:
+        """From the first and last ship year; a shorter span is one period."""
+        year = F.year("l_shipdate")
+        first, last = lineitem.agg(F.min(year), F.max(year)).first()
+        if first is None:
+            return cls(0, 1)
+        return cls(first, max(1, last - first + 2 - WINDOW_YEARS))
 
 
 SUPPLIER = Grain(
@@ -70,10 +96,21 @@ _DICTIONARY = T.StructType(
     [*S.TOPIC_DICTIONARY.fields, T.StructField("period_idx", T.IntegerType())]
 )
 _LINKS = T.StructType([*S.SIMILARITY_LINKS.fields, T.StructField("ps", T.IntegerType())])
+_EDGES = T.StructType(
+    [
+        T.StructField("direction", T.StringType()),
+        T.StructField("beta", T.DoubleType()),
+        T.StructField("node", T.LongType()),
+        T.StructField("then", T.LongType()),
+        T.StructField("p_node", T.IntegerType()),
+        T.StructField("p_then", T.IntegerType()),
+        T.StructField("sim", T.DoubleType()),
+    ]
+)
 _SEEN = T.StructType(
     [
         T.StructField("direction", T.StringType()),
-        T.StructField("beta", T.DecimalType(9, 6)),
+        T.StructField("beta", T.StringType()),
         T.StructField("ti", T.LongType()),
         T.StructField("n_topics", T.LongType()),
         T.StructField("pivot_evolution", T.DoubleType()),
@@ -82,8 +119,8 @@ _SEEN = T.StructType(
 )
 
 
-def term_counts(lineitem: DataFrame, part: DataFrame, grain: Grain) -> DataFrame:
-    """(collection, subtopic, term, period_idx, weight).
+def term_counts(lineitem: DataFrame, part: DataFrame, grain: Grain, calendar: Calendar) -> DataFrame:
+    """(collection, subtopic, term, period_idx, weight); lines without a date have no period.
 
     A line falls into up to three windows.  Instead of multiplying the lines, one
     aggregation counts all windows at once; its partial step runs before the
@@ -91,11 +128,7 @@ def term_counts(lineitem: DataFrame, part: DataFrame, grain: Grain) -> DataFrame
     few counters.  The join is left to Catalyst and AQE: broadcast when ``part``
     is under the threshold, else a shuffle join whose hot keys AQE splits.
     """
-    last_year = FIRST_YEAR + N_PERIODS + WINDOW_YEARS - 2
-    lines = lineitem.filter(
-        (F.col("l_shipdate") >= F.lit(date(FIRST_YEAR, 1, 1)))
-        & (F.col("l_shipdate") < F.lit(date(last_year + 1, 1, 1)))
-    ).select("l_partkey", "l_suppkey", F.year("l_shipdate").alias("year"))
+    lines = lineitem.select("l_partkey", "l_suppkey", F.year("l_shipdate").alias("year"))
     named = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.expr(grain.collection).alias("collection"),
         F.expr(grain.subtopic).alias("subtopic"),
@@ -104,36 +137,42 @@ def term_counts(lineitem: DataFrame, part: DataFrame, grain: Grain) -> DataFrame
     )
 
     def lines_in_window(p: int) -> Column:
-        first = FIRST_YEAR + p
+        first = calendar.first_year + p
         return F.count_if(F.col("year").between(first, first + WINDOW_YEARS - 1))
 
     counted = named.groupBy("collection", "subtopic", "term").agg(
-        *[lines_in_window(p).alias(f"w{p}") for p in range(N_PERIODS)]
+        *[lines_in_window(p).alias(f"w{p}") for p in range(calendar.n_periods)]
     )
     windows = F.array(
         *[
             F.struct(F.lit(p).alias("period_idx"), F.col(f"w{p}").alias("weight"))
-            for p in range(N_PERIODS)
+            for p in range(calendar.n_periods)
         ]
     )
     return counted.select("collection", "subtopic", "term", F.inline(windows)).filter("weight > 0")
 
 
-def topic_nodes(counts: DataFrame, grain: Grain) -> DataFrame:
-    """The ten heaviest terms of every topic, one row per (topic, term).
+def _topic_id(grain: Grain) -> Column:
+    """The packed id; a part that does not fit its place fails the job."""
+    packed = F.col("collection").cast("bigint") * F.lit(grain.width) + F.col("subtopic")
+    fits = F.col("subtopic").between(0, grain.width - 1) & packed.between(0, grain.stride - 1)
+    problem = F.concat_ws(" ", F.lit("topic does not fit its id: collection"), "collection", F.lit("subtopic"), "subtopic")
+    return F.when(fits, F.col("period_idx").cast("bigint") * F.lit(grain.stride) + packed).otherwise(
+        F.raise_error(problem).cast("bigint")
+    )
+
+
+def topic_nodes(counts: DataFrame, grain: Grain, calendar: Calendar) -> DataFrame:
+    """The heaviest terms of every topic, one row per (topic, term).
 
     ``row_number() <= k`` is turned into a top-k per group before the shuffle.
     """
     topic = Window.partitionBy("collection", "subtopic", "period_idx")
     heaviest = F.row_number().over(topic.orderBy(F.desc("weight"), "term"))
-    top = counts.withColumn("position", heaviest).filter(F.col("position") <= TOP_TERMS)
-    start = F.col("period_idx") + F.lit(FIRST_YEAR)
+    top = counts.withColumn("position", heaviest).filter(F.col("position") <= grain.top_terms)
+    start = F.col("period_idx") + F.lit(calendar.first_year)
     return top.select(
-        (
-            F.col("period_idx").cast("bigint") * F.lit(grain.stride)
-            + F.col("collection").cast("bigint") * F.lit(grain.width)
-            + F.col("subtopic")
-        ).alias("topic_id"),
+        _topic_id(grain).alias("topic_id"),
         F.concat_ws("-", start, start + F.lit(WINDOW_YEARS - 1)).alias("period"),
         F.col("weight").cast("double").alias("weight"),
         "term",
@@ -145,7 +184,7 @@ def topic_nodes(counts: DataFrame, grain: Grain) -> DataFrame:
 
 
 def topic_dictionary(nodes: DataFrame) -> DataFrame:
-    """Terms of each topic, heaviest first; at most ten, so the list is bounded."""
+    """Terms of each topic, heaviest first; the grain bounds the list."""
     ordered = F.sort_array(F.collect_list(F.struct("position", "term")))
     return nodes.groupBy("topic_id").agg(
         F.transform(ordered, lambda entry: entry["term"]).alias("terms"),
@@ -155,7 +194,7 @@ def topic_dictionary(nodes: DataFrame) -> DataFrame:
 
 def vocabulary(nodes: DataFrame) -> DataFrame:
     """An id per distinct term: its first place of use, unique without a global sort."""
-    place = F.col("topic_id") * F.lit(100) + F.col("position")
+    place = F.col("topic_id") * F.lit(PLACES) + F.col("position")
     return nodes.groupBy("term").agg(F.min(place).alias("id")).select("id", "term")
 
 
@@ -254,9 +293,13 @@ def seen_terms(paths: DataFrame, dictionary: DataFrame) -> DataFrame:
     """What a root shares with the other topics of its graph, per (direction, beta, ti).
 
     ``shared_mask`` has bit i set when term i of the root occurs in the graph: one
-    long per group where a set of strings would be collected otherwise.
+    long per group where a set of strings would be collected otherwise.  A pair of
+    topics that is linked at several thresholds meets the dictionary once, with the
+    thresholds as a bit set, and is fanned out when only numbers are left.
     """
-    reach = paths.withColumn("beta", threshold_key()).select(*_KEY, "tk").distinct()
+    levels = F.array(*[F.lit(b) for b in BETAS])
+    bit = reduce(lambda rest, i: F.when(F.col("beta") == BETAS[i], 1 << i).otherwise(rest), range(len(BETAS)), F.lit(0))
+    reach = paths.groupBy("direction", "ti", "tk").agg(F.bit_or(bit).alias("reached"))
     other = dictionary.select(F.col("topic_id").alias("tk"), F.col("terms").alias("other_terms"))
     root = dictionary.select(F.col("topic_id").alias("ti"), F.col("terms").alias("root_terms"))
     mask = F.expr(
@@ -269,15 +312,19 @@ def seen_terms(paths: DataFrame, dictionary: DataFrame) -> DataFrame:
         reach.join(other, "tk")
         .join(root, "ti")
         .select(
-            *_KEY,
+            "direction",
+            "ti",
             mask.alias("mask"),
             (F.size("root_terms") + F.size("other_terms")).alias("n_both"),
+            F.filter(levels, lambda _, i: F.getbit(F.col("reached"), i) == 1).alias("betas"),
         )
     )
+    per_threshold = pairs.select("direction", "ti", "mask", "n_both", F.explode("betas").alias("beta"))
     shared = F.bit_count("mask")
     jaccard = shared / (F.col("n_both") - shared)
     return (
-        pairs.groupBy(*_KEY)
+        per_threshold.withColumn("beta", threshold_key())
+        .groupBy(*_KEY)
         .agg(
             F.count("*").alias("n_topics"),
             fixed_point_mean(F.lit(1.0) - jaccard).alias("pivot_evolution"),
@@ -329,7 +376,7 @@ def labels(dictionary: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
-def statistics(paths: DataFrame, seen: DataFrame, label_rows: DataFrame) -> DataFrame:
+def statistics(paths: DataFrame, seen: DataFrame, label_rows: DataFrame, calendar: Calendar) -> DataFrame:
     """Pivot rows: one per (direction, beta, root) with a non-empty graph."""
     earliest = F.min(F.least("pj", "pk"))
     latest = F.max(F.greatest("pj", "pk"))
@@ -347,8 +394,8 @@ def statistics(paths: DataFrame, seen: DataFrame, label_rows: DataFrame) -> Data
             "direction",
             F.col("beta").cast("double").alias("beta"),
             F.col("ti").alias("topic_id"),
-            (F.col("earliest") + FIRST_YEAR).cast("int").alias("start_year"),
-            (F.col("latest") + FIRST_YEAR + WINDOW_YEARS - 1).cast("int").alias("end_year"),
+            (F.col("earliest") + calendar.first_year).cast("int").alias("start_year"),
+            (F.col("latest") + calendar.first_year + WINDOW_YEARS - 1).cast("int").alias("end_year"),
             # the root is the earliest topic of its future and the latest of its past
             (F.col("latest") - F.col("earliest")).cast("int").alias("liveliness"),
             (F.col("n_edges") / F.col("n_parents")).alias("split_degree"),
@@ -383,6 +430,7 @@ class DerivedCorpus(Corpus):
         self.grain = grain
         self.workspace = Workspace(spark)
         self._built: set[str] = set()
+        self._calendar: Calendar | None = None
         self._lock = threading.RLock()
         super().__init__(
             {
@@ -400,6 +448,12 @@ class DerivedCorpus(Corpus):
             }
         )
 
+    def calendar(self) -> Calendar:
+        with self._lock:
+            if self._calendar is None:
+                self._calendar = Calendar.of(self.source("lineitem"))
+            return self._calendar
+
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -423,10 +477,11 @@ class DerivedCorpus(Corpus):
 
     def _nodes(self) -> DataFrame:
         def build() -> DataFrame:
-            counts = term_counts(self.source("lineitem"), self.source("part"), self.grain)
-            return topic_nodes(counts, self.grain)
+            lines, parts, calendar = self.source("lineitem"), self.source("part"), self.calendar()
+            counts = term_counts(lines, parts, self.grain, calendar)
+            return topic_nodes(counts, self.grain, calendar)
 
-        return self._written("topic_nodes", _NODES, build, sort_by=["topic_id"])
+        return self._written("topic_nodes", _NODES, build, sort_by=["topic_id", "position"])
 
     def _periods(self) -> DataFrame:
         def build() -> DataFrame:
@@ -451,15 +506,20 @@ class DerivedCorpus(Corpus):
         return self._written("similarity_links", _LINKS, lambda: similarity_links(self._nodes()))
 
     def _paths(self) -> DataFrame:
-        """All hops, laid out as ``hop=/direction=/beta=`` so both keys prune files."""
+        """All hops, laid out as ``hop=/direction=/beta=`` so both keys prune files.
+
+        Periods advance by one per hop, so there are as many hops as periods less one.
+        """
         layout = ("direction", "beta")
         with self._lock:
             if "paths" not in self._built:
-                edges = directed_edges(self._links())
+                edges = self._written(
+                    "directed_edges", _EDGES, lambda: directed_edges(self._links()), layout, ["node", "then"]
+                )
                 hop = first_hop(edges)
-                for number in range(1, N_PERIODS):
+                for number in range(1, max(2, self.calendar().n_periods)):
                     name = f"paths/hop={number}"
-                    self.workspace.write(name, hop, layout, sort_by=["ti"])
+                    self.workspace.write(name, hop, layout, sort_by=["ti", "tk", "tj"])
                     hop = next_hop(self.workspace.read(name, S.PATHS), edges)
                 self._built.add("paths")
         return self.workspace.read("paths", S.PATHS)
@@ -482,7 +542,9 @@ class DerivedCorpus(Corpus):
         return self._written(
             "pivots",
             S.PIVOTS,
-            lambda: statistics(self.table("paths"), self._seen(), self.table("labels")),
+            lambda: statistics(
+                self.table("paths"), self._seen(), self.table("labels"), self.calendar()
+            ),
             partition_by=["direction", "beta"],
             sort_by=["topic_id"],
         )

@@ -17,7 +17,7 @@ from strandline.sources.readers import ExportedLayout
 
 def _write(df: DataFrame, names: dict[str, str], layout: ExportedLayout, path: str) -> None:
     stored = df.select(*[F.col(c).alias(n) for c, n in names.items()])
-    stored.write.mode("overwrite").format(layout.fmt).save(path)
+    stored.write.mode("error").format(layout.fmt).save(path)
 
 
 def export_corpus(corpus: Corpus, layout: ExportedLayout, tables: Iterable[str]) -> None:

@@ -8,7 +8,7 @@ the query arguments and the parameters of the derivation.
 from __future__ import annotations
 
 from strandline.plans import queries as q
-from strandline.plans.derive import BETAS, FIRST_YEAR, N_PERIODS, SUPPLIER, TOP_TERMS, WINDOW_YEARS
+from strandline.plans.derive import BETAS, SUPPLIER, WINDOW_YEARS
 
 _LABELS = ("stable", "emerging", "decaying", "specific")
 
@@ -17,8 +17,9 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "thresholds": ((), f"SELECT * FROM (VALUES {', '.join(f'(CAST({b} AS DOUBLE))' for b in BETAS)}) v(beta)"),
     "windows": (
         (),
-        f"""SELECT p, {FIRST_YEAR} + p AS ys, {FIRST_YEAR + WINDOW_YEARS - 1} + p AS ye
-        FROM (VALUES {', '.join(f'({p})' for p in range(N_PERIODS))}) v(p)""",
+        f"""SELECT p, first + p AS ys, first + p + {WINDOW_YEARS - 1} AS ye
+        FROM (SELECT first, unnest(range(greatest(1, last - first + 2 - {WINDOW_YEARS}))) AS p
+          FROM (SELECT min(year(l_shipdate)) AS first, max(year(l_shipdate)) AS last FROM lineitem) y) w""",
     ),
     "counts": (
         ("windows",),
@@ -36,12 +37,13 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
             CAST(weight AS DOUBLE) AS weight, term,
             row_number() OVER (PARTITION BY p, coll, sub ORDER BY weight DESC, term) AS position
           FROM counts) x
-        WHERE position <= {TOP_TERMS}""",
+        WHERE position <= {SUPPLIER.top_terms}""",
     ),
     "topics": (
         ("nodes",),
         """SELECT topic_id, min(period_idx) AS period_idx, min(coll) AS coll, count(*) AS n,
-          string_agg(term, ',' ORDER BY term) AS terms
+          string_agg(term, ',' ORDER BY term) AS terms,
+          string_agg(term, ',' ORDER BY position) AS in_order
         FROM nodes GROUP BY topic_id""",
     ),
     "links": (
@@ -115,10 +117,10 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         + " FROM label_terms GROUP BY beta, ti",
     ),
     "pivots": (
-        ("paths", "closeness", "topic_labels"),
-        f"""SELECT g.direction, g.beta, g.ti AS topic_id,
-          CAST({FIRST_YEAR} + lo AS INTEGER) AS start_year,
-          CAST({FIRST_YEAR + WINDOW_YEARS - 1} + hi AS INTEGER) AS end_year,
+        ("paths", "closeness", "topic_labels", "windows"),
+        """SELECT g.direction, g.beta, g.ti AS topic_id,
+          CAST((SELECT min(ys) FROM windows) + lo AS INTEGER) AS start_year,
+          CAST((SELECT min(ye) FROM windows) + hi AS INTEGER) AS end_year,
           CAST(hi - lo AS INTEGER) AS liveliness, n_edges / n_tj AS split_degree,
           n_edges / n_tk AS convergence_degree, relative_evolution, pivot_evolution,
           stable, emerging, decaying, specific
@@ -159,6 +161,11 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN direction = 'future' THEN tk ELSE tj END AS target
         FROM paths p JOIN roots r ON r.beta = p.beta AND r.topic_id = p.ti""",
     ),
+    "selected": (("pivots",), f"SELECT DISTINCT beta, topic_id FROM pivots WHERE list_contains(string_split(emerging, ','), '{q.TERM}')"),
+    "selected_rows": (
+        ("graph_rows", "selected"),
+        "SELECT g.* FROM graph_rows g JOIN selected s ON s.beta = g.beta AND s.topic_id = g.root",
+    ),
     "every_root": (("topics", "thresholds"), "SELECT beta, topic_id FROM topics CROSS JOIN thresholds"),
 }
 
@@ -216,15 +223,18 @@ def _path(self_where: str, other_where: str) -> str:
     )
 
 
-def _describe(*columns: str) -> str:
-    parts = [
+def _describe_body(*columns: str, where: str = "TRUE") -> str:
+    return " UNION ALL ".join(
         f"""SELECT direction, '{c}' AS metric, count({c}) AS count,
           round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev,
           round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max
-        FROM pivots GROUP BY direction"""
+        FROM pivots WHERE {where} GROUP BY direction"""
         for c in columns
-    ]
-    return _with(" UNION ALL ".join(parts), "pivots")
+    )
+
+
+def _describe(*columns: str) -> str:
+    return _with(_describe_body(*columns), "pivots")
 
 
 def _first_per_side(columns: str, order: str) -> str:
@@ -240,24 +250,39 @@ def _graph(columns: str, reads: tuple[str, ...] = ()) -> str:
     return _with(f"SELECT DISTINCT {columns} FROM graph_rows", "graph_rows", *reads)
 
 
-def _node_rows(key: str) -> str:
+def _selected_graph(columns: str) -> str:
+    return _with(f"SELECT DISTINCT {columns} FROM selected_rows", "selected_rows")
+
+
+def _in_order(column: str, order: str) -> str:
+    return _with(
+        f"""SELECT direction, place, beta, topic_id, round({column}, 6) AS {column} FROM (
+          SELECT *, row_number() OVER (
+            PARTITION BY direction ORDER BY pivots.{column} {order}, beta, topic_id) AS place
+          FROM pivots) x
+        WHERE place <= {q.TOP_ROWS}""",
+        "pivots",
+    )
+
+
+def _node_rows(key: str, rows: str = "graph_rows") -> str:
     return _with(
         f"""SELECT n.*, {', '.join(_LABELS)} FROM (
-          SELECT {key}, tj AS topic_id FROM graph_rows
-          UNION SELECT {key}, tk FROM graph_rows) n
+          SELECT {key}, tj AS topic_id FROM {rows}
+          UNION SELECT {key}, tk FROM {rows}) n
         JOIN topic_labels l ON l.beta = n.beta AND l.ti = n.topic_id""",
-        "graph_rows",
+        rows,
         "topic_labels",
     )
 
 
-def _timeline_rows(key: str) -> str:
+def _timeline_rows(key: str, rows: str = "graph_rows") -> str:
     return _with(
         f"""SELECT n.*, d.period FROM (
-          SELECT {key}, pj AS period_idx FROM graph_rows
-          UNION SELECT {key}, pk FROM graph_rows) n
+          SELECT {key}, pj AS period_idx FROM {rows}
+          UNION SELECT {key}, pk FROM {rows}) n
         JOIN period_dim d ON d.period_idx = n.period_idx""",
-        "graph_rows",
+        rows,
         "period_dim",
     )
 
@@ -282,6 +307,29 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT beta, ti, {', '.join(_LABELS)} FROM topic_labels", "topic_labels"
         ),
         "src_parquet": _pivots(),
+        **{
+            f"src_{fmt}_{table}": _with(body, *reads)
+            for fmt in ("json", "parquet")
+            for table, body, *reads in (
+                ("topic_nodes", "SELECT topic_id, period, weight, term FROM nodes", "nodes"),
+                ("topic_dictionary", "SELECT topic_id, terms FROM topics", "topics"),
+                (
+                    "vocabulary",
+                    "SELECT min(topic_id * 100 + position) AS id, term FROM nodes GROUP BY term",
+                    "nodes",
+                ),
+                ("similarity_links", f"SELECT s, t, {_SIM} FROM links", "links"),
+                (
+                    "individuals",
+                    """SELECT e.beta, e.topic_id, terms, t.period_idx
+                    FROM every_root e JOIN topics t ON t.topic_id = e.topic_id
+                    WHERE NOT EXISTS (SELECT 1 FROM paths p WHERE p.beta = e.beta AND p.ti = e.topic_id)""",
+                    "every_root",
+                    "topics",
+                    "paths",
+                ),
+            )
+        },
         "links_top": _with(
             f"SELECT s, t, {_SIM} FROM (SELECT * FROM links ORDER BY links.sim DESC, s, t"
             f" LIMIT {q.TOP_ROWS}) x",
@@ -299,6 +347,9 @@ def oracle_sql() -> dict[str, str]:
         "topic_lookup": _with(
             f"SELECT topic_id, terms FROM topics WHERE topic_id = {q.NODE_ID}", "topics"
         ),
+        "topic_lookup_ordered": _with(
+            f"SELECT topic_id, in_order AS terms FROM topics WHERE topic_id = {q.NODE_ID}", "topics"
+        ),
         "nodes_top": _with(
             f"""SELECT topic_id, period, weight, term FROM nodes
             ORDER BY topic_id, weight DESC, term LIMIT {q.TOP_ROWS}""",
@@ -334,6 +385,11 @@ def oracle_sql() -> dict[str, str]:
             AND pivots.relative_evolution BETWEEN 0.1 AND 0.7
             AND pivots.pivot_evolution BETWEEN 0.1 AND 0.8"""
         ),
+        "search_kinds": _pivots(
+            f"""{_has('stable', _T)} AND {_has('decaying', _O)} AND start_year >= 1995
+            AND end_year <= 2001 AND liveliness BETWEEN 1 AND 9"""
+        ),
+        "search_specific": _pivots(f"{_has('specific', _T)} AND direction = 'past'"),
         "proj_future": _pivots("direction = 'future'"),
         "proj_past": _pivots("direction = 'past'"),
         "set_union": _with(
@@ -354,11 +410,20 @@ def oracle_sql() -> dict[str, str]:
               UNION ALL SELECT * FROM pivots WHERE {contains} AND direction = 'past') u""",
             "pivots",
         ),
+        "set_intersect_missing": _with(
+            f"""SELECT DISTINCT {_PIVOT_COLUMNS} FROM pivots WHERE {contains} AND direction = 'past'""",
+            "pivots",
+        ),
+        "set_union_missing": _pivots(
+            f"(direction = 'past' AND {contains}) OR (direction = 'future' AND {_has('emerging', _T)})"
+        ),
         "path_future": _path("direction = 'future'", f"direction = 'future' AND {_has('emerging', _O)}"),
         "path_past": _path("direction = 'past'", f"direction = 'past' AND {_has('decaying', _O)}"),
         "path_both": _path(contains, "liveliness >= 2"),
         "sort_asc": _pivots(),
         "sort_desc": _pivots(),
+        "sort_asc_order": _in_order("pivot_evolution", "ASC"),
+        "sort_desc_order": _in_order("liveliness", "DESC"),
         "rep_show": _first_per_side(_PIVOT_COLUMNS, "beta, topic_id"),
         "rep_labels": _first_per_side(
             f"direction, beta, topic_id, {', '.join(_LABELS)}", "beta, topic_id"
@@ -369,6 +434,19 @@ def oracle_sql() -> dict[str, str]:
             "pivots",
             "topics",
         ),
+        "rep_topics_ordered": _with(
+            f"""SELECT direction, s.topic_id, in_order AS terms FROM ({_SELECTED_TOPICS}) s
+            JOIN topics t ON t.topic_id = s.topic_id""",
+            "pivots",
+            "topics",
+        ),
+        "rep_describe_empty": _with(
+            _describe_body("liveliness", *_METRIC_COLUMNS, where="direction = 'past'")
+            + " UNION ALL SELECT 'future', metric, 0, NULL, NULL, NULL, NULL FROM (VALUES "
+            + ", ".join(f"('{c}')" for c in ("liveliness", *_METRIC_COLUMNS))
+            + ") m(metric)",
+            "pivots",
+        ),
         "rep_terms": _with(
             f"""SELECT direction, term, count(*) AS n_topics FROM ({_SELECTED_TOPICS}) s
             JOIN topic_terms t ON t.topic_id = s.topic_id GROUP BY direction, term""",
@@ -397,6 +475,9 @@ def oracle_sql() -> dict[str, str]:
             WHERE period = '{q.START_YEAR}-{q.START_YEAR + 2}'""",
             "per_period",
         ),
+        "sql_labels_of_threshold": _with(
+            f"SELECT ti, {', '.join(_LABELS)} FROM topic_labels WHERE beta = {q.SEARCH_BETA}", "topic_labels"
+        ),
         "facet_terms": _with(
             "SELECT DISTINCT kind, term FROM label_terms l JOIN roots r"
             " ON r.beta = l.beta AND r.topic_id = l.ti",
@@ -433,6 +514,25 @@ def oracle_sql() -> dict[str, str]:
             WHERE beta = {q.SEARCH_BETA} AND {_has_any(('emerging',), q.SEARCH_TERMS)})""",
             "topic_labels",
         ),
+        "g_label_search_all": _paths(
+            f"""EXISTS (SELECT 1 FROM topic_labels l WHERE l.beta = paths.beta AND l.ti = paths.ti
+            AND {_has_any(('emerging',), q.SEARCH_TERMS)})""",
+            "topic_labels",
+        ),
+        "g_sel_edges": _selected_graph(f"beta, root, direction, source, target, {_SIM}"),
+        "g_sel_multi_edges": _selected_graph(f"beta, direction, source, target, {_SIM}"),
+        "g_sel_nodes": _node_rows("beta, root", "selected_rows"),
+        "g_sel_timeline_nodes": _timeline_rows("beta, root", "selected_rows"),
+        "g_sel_shape": _with(
+            """SELECT e.beta, e.topic_id AS root, count(*) FILTER (direction = 'future') AS n_future,
+              count(*) FILTER (direction = 'past') AS n_past,
+              CASE WHEN count(DISTINCT direction) = 2 THEN 'both'
+                ELSE coalesce(min(direction), 'none') END AS shape
+            FROM selected e LEFT JOIN paths p ON p.beta = e.beta AND p.ti = e.topic_id
+            GROUP BY e.beta, e.topic_id""",
+            "selected",
+            "paths",
+        ),
         "g_bidir": _graph(f"beta, root, source, target, {_SIM}"),
         "g_multi_bidir": _graph(f"beta, source, target, {_SIM}"),
         "g_edge_style": _graph(

@@ -77,6 +77,11 @@ def _on_graphs(build: Callable[[graphs.PivotGraphs], DataFrame]) -> Query:
     return _on_pivots(lambda pivots: build(pivots.graphs()))
 
 
+def _on_selected(build: Callable[[graphs.PivotGraphs], DataFrame]) -> Query:
+    """Graphs of a selected set of pivots only."""
+    return _on_pivots(lambda pivots: build(pivots.emerge(TERM).graphs()))
+
+
 def _on_every_topic(build: Callable[[graphs.PivotGraphs], DataFrame]) -> Query:
     """Graphs rooted in every topic at every threshold, linked or not."""
 
@@ -88,8 +93,11 @@ def _on_every_topic(build: Callable[[graphs.PivotGraphs], DataFrame]) -> Query:
     return _on_corpus(run)
 
 
+_exported_tables: set[tuple[str, str, str]] = set()
+
+
 def _exported(fmt: str, table: str) -> Query:
-    """Read a table back from a copy in the exported layout."""
+    """Read a table back from a copy in the exported layout, written once per corpus."""
 
     def run(corpus: derive.DerivedCorpus) -> DataFrame:
         layout = ExportedLayout(
@@ -98,7 +106,11 @@ def _exported(fmt: str, table: str) -> Query:
             topics_per_period=TOPICS_PER_PERIOD,
             fmt=fmt,
         )
-        export_corpus(corpus, layout, [table])
+        with _lock:
+            key = (corpus.workspace.root, fmt, table)
+            if key not in _exported_tables:
+                export_corpus(corpus, layout, [table])
+                _exported_tables.add(key)
         return open_exported(corpus.spark, layout).table(table)
 
     return _on_corpus(run)
@@ -109,6 +121,31 @@ def _label_search_edges(corpus: derive.DerivedCorpus) -> DataFrame:
     return graphs.subgraphs_of(corpus.paths(SEARCH_BETA), found)
 
 
+def _label_search_all(corpus: derive.DerivedCorpus) -> DataFrame:
+    """Graphs of the labelled topics, each at the thresholds at which it has the label."""
+    found = lookups.topics_labelled_with_any(corpus, "emerging", SEARCH_TERMS)
+    return graphs.subgraphs_of(corpus.paths(), found)
+
+
+def _sql_labels_of_threshold(corpus: derive.DerivedCorpus) -> DataFrame:
+    register_views(corpus.spark, corpus, prefix="strandline_one_", beta=SEARCH_BETA)
+    return corpus.spark.sql("SELECT Ti AS ti, stable, emerging, decaying, specific FROM strandline_one_labels")
+
+
+def _in_order(p: PivotSet, column: str, order: str) -> DataFrame:
+    """The first rows of each side, numbered as they come out of the sort."""
+    sides = []
+    for side in ("future", "past"):
+        first = (p.future() if side == "future" else p.past()).sort(column, order).rows.limit(TOP_ROWS)
+        numbered = first.withColumn("place", F.monotonically_increasing_id() + 1)
+        sides.append(numbered.select("direction", "place", "beta", "topic_id", column))
+    return sides[0].unionByName(sides[1])
+
+
+def _terms_in_order(df: DataFrame) -> DataFrame:
+    return df.withColumn("terms", joined("terms", stored_order=True))
+
+
 def _sql_period_terms(corpus: derive.DerivedCorpus) -> DataFrame:
     register_views(corpus.spark, corpus, prefix="strandline_")
     return corpus.spark.sql(
@@ -126,11 +163,17 @@ def queries() -> dict[str, Query]:
         "src_json_paths": _exported("json", "paths"),
         "src_json_labels": _exported("json", "labels"),
         "src_parquet": _exported("parquet", "pivots"),
+        **{
+            f"src_{fmt}_{table}": _exported(fmt, table)
+            for fmt in ("json", "parquet")
+            for table in ("topic_nodes", "topic_dictionary", "vocabulary", "similarity_links", "individuals")
+        },
         "links_top": _on_corpus(lambda c: lookups.strongest_links(c, TOP_ROWS)),
         # table filters
         "node_lookup": _on_corpus(lambda c: lookups.topic_node(c, NODE_ID)),
         "vocab_lookup": _on_corpus(lambda c: lookups.vocabulary_entry(c, VOCABULARY_ID)),
         "topic_lookup": _on_corpus(lambda c: lookups.topic_terms(c, NODE_ID)),
+        "topic_lookup_ordered": _on_corpus(lambda c: _terms_in_order(lookups.topic_terms(c, NODE_ID))),
         "nodes_top": _on_corpus(lambda c: lookups.first_nodes(c, TOP_ROWS)),
         "labels_any_emerging": _on_corpus(
             lambda c: lookups.topics_labelled_with_any(c, "emerging", SEARCH_TERMS)
@@ -166,12 +209,18 @@ def queries() -> dict[str, Query]:
                 pevol=(0.1, 0.8),
             )
         ),
+        "search_kinds": _on_pivots(
+            lambda p: p.search(stable=TERM, decaying=OTHER_TERM, period=(1995, 2001), live=(1, 9))
+        ),
+        "search_specific": _on_pivots(lambda p: p.search(specific=TERM, side="past")),
         # projection and set operations
         "proj_future": _on_pivots(lambda p: p.future()),
         "proj_past": _on_pivots(lambda p: p.past()),
         "set_union": _on_pivots(lambda p: p.contains(TERM).union(p.future().emerge(TERM))),
         "set_intersect": _on_pivots(lambda p: p.contains(TERM).intersect(p.contains(OTHER_TERM))),
         "set_minus": _on_pivots(lambda p: p.contains(TERM).minus(p.future().emerge(TERM))),
+        "set_intersect_missing": _on_pivots(lambda p: p.contains(TERM).intersect(p.past())),
+        "set_union_missing": _on_pivots(lambda p: p.past().contains(TERM).union(p.future().emerge(TERM))),
         # paths
         "path_future": _on_pivots(lambda p: p.future().path(p.future().emerge(OTHER_TERM))),
         "path_past": _on_pivots(lambda p: p.past().path(p.past().decay(OTHER_TERM))),
@@ -179,10 +228,14 @@ def queries() -> dict[str, Query]:
         # ordering
         "sort_asc": _on_pivots(lambda p: p.sort("pivot_evolution")),
         "sort_desc": _on_pivots(lambda p: p.sort("liveliness", "desc")),
+        "sort_asc_order": _on_pivots(lambda p: _in_order(p, "pivot_evolution", "asc")),
+        "sort_desc_order": _on_pivots(lambda p: _in_order(p, "liveliness", "desc")),
         # reports
         "rep_show": _on_pivots(lambda p: p.show(TOP_ROWS)),
         "rep_labels": _on_pivots(lambda p: p.show_labels(TOP_ROWS)),
         "rep_topics": _on_pivots(lambda p: p.emerge(TERM).describe_topics(n=None)),
+        "rep_topics_ordered": _on_pivots(lambda p: _terms_in_order(p.emerge(TERM).describe_topics(n=None))),
+        "rep_describe_empty": _on_pivots(lambda p: p.where(F.col("direction") == "past").describe()),
         "rep_terms": _on_pivots(lambda p: p.emerge(TERM).describe_terms()),
         "rep_describe": _on_pivots(lambda p: p.describe()),
         "rep_describe_cols": _on_pivots(
@@ -196,6 +249,7 @@ def queries() -> dict[str, Query]:
         "period_terms": _on_corpus(lambda c: terms.terms_for_period(c, START_YEAR, TOP_ROWS)),
         "period_compare": _on_corpus(lambda c: terms.compare_periods(c, PERIODS, TOP_TERMS)),
         "sql_period_terms": _on_corpus(_sql_period_terms),
+        "sql_labels_of_threshold": _on_corpus(_sql_labels_of_threshold),
         # facets
         "facet_terms": _on_pivots(lambda p: p.term_choices()),
         "facet_keywords": _on_pivots(lambda p: p.keyword_choices()),
@@ -207,6 +261,12 @@ def queries() -> dict[str, Query]:
         "g_multi_edges": _on_graphs(lambda g: g.edges(merged=True)),
         "g_multi_topics": _on_corpus(lambda c: graphs.subgraphs_of(c.paths(), TOPIC_IDS)),
         "g_label_search": _on_corpus(_label_search_edges),
+        "g_label_search_all": _on_corpus(_label_search_all),
+        "g_sel_edges": _on_selected(lambda g: g.edges()),
+        "g_sel_multi_edges": _on_selected(lambda g: g.edges(merged=True)),
+        "g_sel_nodes": _on_selected(lambda g: g.nodes()),
+        "g_sel_timeline_nodes": _on_selected(lambda g: g.timeline_nodes()),
+        "g_sel_shape": _on_selected(lambda g: g.shapes()),
         "g_bidir": _on_graphs(lambda g: g.bidirectional_edges()),
         "g_multi_bidir": _on_graphs(lambda g: g.bidirectional_edges(merged=True)),
         "g_edge_style": _on_graphs(lambda g: g.styled_edges()),

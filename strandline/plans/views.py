@@ -17,19 +17,29 @@ def _stored(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def register_views(
-    spark: SparkSession, corpus: Corpus, prefix: str = "", top: int = terms.TOP
+    spark: SparkSession,
+    corpus: Corpus,
+    prefix: str = "",
+    top: int = terms.TOP,
+    beta: float | None = None,
 ) -> list[str]:
-    """Create (lazy) views over the corpus and the two term reports; returns their names."""
+    """Create (lazy) views over the corpus and the two term reports; returns their names.
+
+    With ``beta`` the labels are those of one threshold, a row per topic.
+    """
+    labels = corpus.labels()
+    if beta is not None:
+        labels = labels.filter(F.col("beta") == F.lit(float(beta)))
     periods = terms.topic_periods(corpus).withColumnRenamed("topic_id", "idTopic")
     views = {
-        "topicNodes": _stored(corpus.topic_nodes(), S.EXPORTED_TOPIC_NODES),
-        "topicDictionary_unique_10": _stored(
+        S.VIEW_TOPIC_NODES: _stored(corpus.topic_nodes(), S.EXPORTED_TOPIC_NODES),
+        S.VIEW_TOPIC_DICTIONARY: _stored(
             corpus.topic_dictionary(), S.EXPORTED_TOPIC_DICTIONARY
         ),
-        "labels": _stored(corpus.labels(), S.EXPORTED_LABELS),
-        "topicPeriod": periods,
-        "freqLabels": terms.term_frequency(corpus, top),
-        "labelPerPeriod": terms.label_per_period(corpus, top),
+        S.VIEW_LABELS: _stored(labels, S.EXPORTED_LABELS),
+        S.VIEW_TOPIC_PERIOD: periods,
+        S.VIEW_FREQUENT: terms.term_frequency(corpus, top),
+        S.VIEW_PER_PERIOD: terms.label_per_period(corpus, top),
     }
     for name, df in views.items():
         df.createOrReplaceTempView(prefix + name)

@@ -80,6 +80,10 @@ INDIVIDUALS = _struct(
     beta=T.DoubleType(), topic_id=T.LongType(), terms=_TERMS, period_idx=T.IntegerType()
 )
 
+#: Columns that name a row and are never NULL; columns that a stored table may lack.
+_KEYS = ("topic_id", "ti", "tj", "tk", "id", "s", "t")
+OPTIONAL = ("term",)
+
 PIVOT_COLUMNS = PIVOTS.fieldNames()
 PATH_COLUMNS = PATHS.fieldNames()
 LABEL_COLUMNS = LABELS.fieldNames()
@@ -116,6 +120,19 @@ EXPORTED_SIMILARITY_LINKS = {"s": "s", "t": "t", "sim": "sim"}
 EXPORTED_INDIVIDUALS = {"topic_id": "id", "terms": "topic", "period_idx": "period"}
 
 
+# --- names of the SQL views over an exported corpus (fixed values) -----------
+VIEW_TOPIC_NODES = "topicNodes"
+VIEW_TOPIC_DICTIONARY = "topicDictionary_unique_10"
+VIEW_LABELS = "labels"
+VIEW_TOPIC_PERIOD = "topicPeriod"
+VIEW_FREQUENT = "freqLabels"
+VIEW_PER_PERIOD = "labelPerPeriod"
+
+
+def keys_of(canonical: T.StructType) -> list[str]:
+    return [c for c in canonical.fieldNames() if c in _KEYS]
+
+
 def exported_schema(canonical: T.StructType, names: dict[str, str]) -> T.StructType:
     """Schema of a stored file: the canonical types under the stored names."""
     return T.StructType([T.StructField(names[c], canonical[c].dataType) for c in names])

@@ -36,7 +36,11 @@ def build_session(
 
 
 def tune(spark: SparkSession) -> None:
-    """Give a session made elsewhere the adaptive settings the plans count on."""
+    """Give a session made elsewhere the adaptive settings the plans count on.
+
+    The settings stay: results are lazy, so the plans are made after the call that
+    builds them.  A session that was made by ``build_session`` has them already.
+    """
     for key, value in SETTINGS.items():
         if key.startswith("spark.sql.adaptive."):
             spark.conf.set(key, value)

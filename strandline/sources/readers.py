@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,30 +20,51 @@ def read_table(
     fmt: str,
     canonical: StructType,
     names: dict[str, str] | None = None,
+    keys: Sequence[str] = (),
+    optional: Sequence[str] = (),
 ) -> DataFrame:
     """Read a stored table and return it under the canonical names and types.
 
     ``names`` maps canonical to stored names (default: equal).  JSON is read with
     the schema given, so no inference job runs; Parquet brings its own types,
-    which are cast, so files that store e.g. years as bigint read as well.  A
-    column that the files lack comes back as NULL.
+    which are cast, so files that store e.g. years as bigint read as well.
+
+    Errors are not turned into NULL: a broken JSON line fails the job, a Parquet
+    column that is missing fails at once unless it is ``optional``, and a NULL in
+    one of the ``keys`` of a JSON table fails the job, since JSON does not tell a
+    missing column from a missing value.  For other JSON columns see
+    ``check_columns``.
     """
     names = names or {c: c for c in canonical.fieldNames()}
     if fmt == "json":
-        stored = spark.read.schema(S.exported_schema(canonical, names)).json(path)
+        stored = spark.read.schema(S.exported_schema(canonical, names)).json(path, mode="FAILFAST")
     elif fmt == "parquet":
         stored = spark.read.parquet(path)
+        missing = [n for c, n in names.items() if n not in stored.columns and c not in optional]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
     else:
         raise ValueError(f"format must be 'json' or 'parquet', not {fmt!r}")
-    present = set(stored.columns)
-    return stored.select(
-        *[
-            (F.col(stored_name) if stored_name in present else F.lit(None))
-            .cast(canonical[name].dataType)
-            .alias(name)
-            for name, stored_name in names.items()
-        ]
-    )
+
+    def column(name: str, stored_name: str) -> Column:
+        if stored_name not in stored.columns:
+            return F.lit(None).cast(canonical[name].dataType)
+        value = F.col(stored_name).cast(canonical[name].dataType)
+        if fmt == "json" and name in keys:
+            failure = F.raise_error(f"{path}: a row without {stored_name}")
+            value = F.coalesce(value, failure.cast(canonical[name].dataType))
+        return value
+
+    return stored.select(*[column(name, stored_name).alias(name) for name, stored_name in names.items()])
+
+
+def check_columns(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raises if a column has no value in any row of a table that has rows: it may be
+    stored under another name.  One aggregation."""
+    counted = df.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n_{c}") for c in columns]).first()
+    empty = [c for c in columns if not counted[f"n_{c}"]]
+    if counted["rows"] and empty:
+        raise ValueError(f"no row has a value of {', '.join(empty)}")
 
 
 @dataclass(frozen=True)
@@ -88,7 +109,8 @@ def open_exported(spark: SparkSession, layout: ExportedLayout) -> Corpus:
     """
 
     def table(name: str, canonical: StructType, names: dict[str, str]) -> DataFrame:
-        return read_table(spark, layout.at(name), layout.fmt, canonical, names)
+        keys = S.keys_of(canonical)
+        return read_table(spark, layout.at(name), layout.fmt, canonical, names, keys, S.OPTIONAL)
 
     def pivots() -> DataFrame:
         sides = [
@@ -102,8 +124,9 @@ def open_exported(spark: SparkSession, layout: ExportedLayout) -> Corpus:
     def graphs(name: str, canonical: StructType, names: dict[str, str]) -> DataFrame:
         return _stack(
             [
-                read_table(spark, layout.graphs(beta, name), layout.fmt, canonical, names)
-                .withColumn("beta", F.lit(float(beta)))
+                read_table(
+                    spark, layout.graphs(beta, name), layout.fmt, canonical, names, S.keys_of(canonical)
+                ).withColumn("beta", F.lit(float(beta)))
                 for beta in layout.betas
             ]
         )

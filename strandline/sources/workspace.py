@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share.
 
     Only a local session, whose one machine is the whole cluster, may fall back
-    to a temporary folder.
+    to a temporary folder; the session's settings are left as they are.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -24,9 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
         return context.getCheckpointDir().rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="strandline-")
-    context.setCheckpointDir(folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="strandline-")
+    return _local_folders[context.applicationId]
 
 
 class Workspace:
@@ -51,9 +54,15 @@ class Workspace:
         partition_by: Sequence[str] = (),
         sort_by: Sequence[str] = (),
     ) -> None:
-        """``sort_by`` orders the rows of each file, so that a lookup by those columns
-        skips row groups by their min/max statistics."""
+        """``sort_by`` gives each file a range of those columns, and orders its rows.
+
+        A lookup by the first of them opens the one or two files whose min/max cover
+        it.  The ranges run over the partition columns too, so a task writes into few
+        folders, and over all of ``sort_by``, so a value of the first column that many
+        rows have spreads over several files.
+        """
         if sort_by:
+            df = df.repartitionByRange(*partition_by, *sort_by)
             df = df.sortWithinPartitions(*partition_by, *sort_by)
         writer = df.write.mode("overwrite")
         if partition_by:

@@ -177,3 +177,13 @@ def test_strength_spans_one_to_ten_and_is_null_at_one(spark):
     df = spark.createDataFrame(rows, "sim double, beta double")
     got = [r.w for r in df.select(edge_strength(F.col("sim"), F.col("beta")).alias("w")).collect()]
     assert got == [1.0, 10.0, 5.5, None]
+
+
+def test_selected_topics_bring_their_threshold(make_corpus, spark):
+    paths = [("future", beta, ti, ti, 9, 0, 1, 0.9) for beta in (0.3, 0.5) for ti in (1, 2)]
+    corpus = make_corpus(paths=paths)
+    found = spark.createDataFrame([(0.3, 1), (0.5, 2), (0.3, 1)], "beta double, topic_id long")
+    rows = graphs.subgraphs_of(corpus.paths(), found)
+    assert sorted((r.beta, r.ti) for r in rows.collect()) == [(0.3, 1), (0.5, 2)]
+    assert rows.columns == corpus.paths().columns
+    assert graphs.subgraphs_of(corpus.paths(), found.select("topic_id")).count() == 4

@@ -358,3 +358,27 @@ def test_path_result_is_a_subset(derived):
     reached = derived.path(derived.live(2))
     assert set(keys(reached)) < set(keys(derived))
     assert len(keys(reached)) == len(set(keys(reached)))
+
+
+def test_a_missing_side_has_no_rows_whatever_was_passed(make_pivots):
+    both = make_pivots(pivot_row("future", 0.5, 1), pivot_row("past", 0.5, 2))
+    assert keys(PivotSet(both.corpus, both.rows, ["future"])) == [("future", 0.5, 1)]
+    assert keys(PivotSet(both.corpus, both.rows, [])) == []
+
+
+def test_describe_counts_nothing_on_an_empty_side(make_pivots):
+    pivots = make_pivots(pivot_row("future", 0.5, 1, liveliness=3))
+    rows = {r["direction"]: r for r in pivots.describe("liveliness").collect()}
+    assert (rows["future"]["count"], rows["future"]["mean"]) == (1, 3.0)
+    assert tuple(rows["past"])[2:] == (0, None, None, None, None)
+    assert [r["direction"] for r in pivots.future().describe("liveliness").collect()] == ["future"]
+
+
+def test_close_thresholds_stay_apart(make_pivots):
+    a, b = 0.3000001, 0.3000004
+    rows = [pivot_row("future", beta, t) for beta in (a, b) for t in (1, 2)]
+    pivots = make_pivots(*rows, paths=[("future", a, 1, 1, 2, 0, 1, 0.9)], labels=[(a, 2, ["x"], [], [], []), (b, 2, ["y"], [], [], [])])
+    assert keys(pivots.path(pivots)) == [("future", a, 1)]
+    edges = pivots.graphs().edges().collect()
+    assert [(e["beta"], e["source"], e["target"]) for e in edges] == [(a, 1, 2)], "bit-equal"
+    assert [(r["beta"], list(r["stable"])) for r in pivots.graphs().nodes().collect()] == [(a, ["x"])]

@@ -8,10 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from strandline.plans.oracle import oracle_sql
+from strandline.plans.queries import queries
 from strandline.session import tune
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = queries()
+ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +39,7 @@ def normal(rows, columns):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 def test_entry_returns_ranked_terms(spark, sf_dir):
@@ -72,3 +75,20 @@ def test_filter_arguments_select_a_proper_subset(spark, gate_dir, name):
     """At the scale of the correctness gate no filter may be trivial."""
     everything = QUERIES["pivots_load"](spark, gate_dir).count()
     assert 0 < QUERIES[name](spark, gate_dir).count() < everything
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("g_sel_")))
+def test_selected_graphs_are_fewer_than_all(spark, gate_dir, name):
+    everything = QUERIES[{"g_sel_edges": "g_single_edges", "g_sel_shape": "g_graph_shape"}.get(name, name.replace("_sel", ""))]
+    assert 0 < QUERIES[name](spark, gate_dir).count() < everything(spark, gate_dir).count()
+
+
+def test_shapes_are_counted_for_the_roots_only(spark, sf_dir):
+    plan = QUERIES["g_sel_shape"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Aggregate") :]
+
+
+def test_an_export_is_written_once(spark, sf_dir):
+    first = QUERIES["src_json"](spark, sf_dir)
+    rows = QUERIES["src_json"](spark, sf_dir).count()
+    assert first.count() == rows > 0

@@ -8,7 +8,14 @@ from conftest import pivot_row, values
 from strandline import Corpus, PivotSet
 from strandline import schema as S
 from strandline.plans.export import export_corpus
-from strandline.sources import ExportedLayout, Workspace, open_exported, read_table, shared_folder
+from strandline.sources import (
+    ExportedLayout,
+    Workspace,
+    check_columns,
+    open_exported,
+    read_table,
+    shared_folder,
+)
 from strandline.sources.corpus import TABLES
 
 F_, P_ = S.FUTURE, S.PAST
@@ -61,19 +68,38 @@ def test_parquet_with_other_number_types_is_cast(spark, tmp_path):
     stored = spark.createDataFrame([(1, "x", 3)], "idTopic int, period string, weight long")
     stored.write.parquet(str(tmp_path / "n"))
     back = read_table(
-        spark, str(tmp_path / "n"), "parquet", S.TOPIC_NODES, S.EXPORTED_TOPIC_NODES
+        spark, str(tmp_path / "n"), "parquet", S.TOPIC_NODES, S.EXPORTED_TOPIC_NODES, optional=S.OPTIONAL
     )
     assert values(back) == [(1, "x", 3.0, None)]
     assert back.schema["topic_id"].dataType == S.TOPIC_NODES["topic_id"].dataType
 
 
-def test_json_needs_no_inference_and_tolerates_missing_columns(spark, tmp_path):
-    lines = [{"idTopic": 4, "period": "p"}, {"weight": 0.5, "idTopic": 5, "extra": 1}]
-    (tmp_path / "n.json").write_text("\n".join(json.dumps(x) for x in lines))
-    back = read_table(
-        spark, str(tmp_path / "n.json"), "json", S.TOPIC_NODES, S.EXPORTED_TOPIC_NODES
+def read_json(spark, folder, lines):
+    (folder / "n.json").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
+    return read_table(
+        spark, str(folder / "n.json"), "json", S.TOPIC_NODES, S.EXPORTED_TOPIC_NODES, S.keys_of(S.TOPIC_NODES)
     )
+
+
+def test_json_needs_no_inference_and_tolerates_missing_values(spark, tmp_path):
+    back = read_json(spark, tmp_path, [{"idTopic": 4, "period": "p"}, {"weight": 0.5, "idTopic": 5, "extra": 1}])
     assert values(back) == [(4, "p", None, None), (5, None, 0.5, None)]
+    check_columns(back, ["period", "weight"])
+    with pytest.raises(ValueError, match="term"):
+        check_columns(back, ["period", "term"])
+
+
+def test_json_errors_are_not_turned_into_null(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        read_json(spark, tmp_path, [{"idTopic": 4}, '{"idTopic": 5, '] ).collect()
+    with pytest.raises(Exception, match="without idTopic"):
+        read_json(spark, tmp_path, [{"idTopic": 4}, {"topic": 5}]).collect()
+
+
+def test_a_missing_parquet_column_is_refused(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "idTopic int, period string").write.parquet(str(tmp_path / "n"))
+    with pytest.raises(ValueError, match="weight"):
+        read_table(spark, str(tmp_path / "n"), "parquet", S.TOPIC_NODES, S.EXPORTED_TOPIC_NODES, optional=S.OPTIONAL)
 
 
 def test_unknown_names_are_refused(spark, tmp_path):
