@@ -93,6 +93,8 @@ def without_recurring_lines(
         .agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
         .filter(F.col("docs") >= policy.min_docs)
     )
+    # written, so that the join below brings its own exchange and a hot template can be split
+    recurring = keep(recurring, "recurring")
     dropped = keep(
         placed.join(recurring, "template").filter("doc.key <> first.key").select(F.col("doc.key").alias("key"), "pos"), "dropped"
     )

@@ -6,7 +6,6 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import pytest
 from llm_cases import ODD, make_docs, prose  # noqa: F401
@@ -101,28 +100,26 @@ def test_scoring_odd_texts_and_nothing(make_docs):
     assert C.scores(empty, C.train(empty, "text", held), held).count() == 0
 
 
-def test_held_out_texts_are_predicted_better_than_by_words(spark):
-    folder = Path("/root/testdata/sf0.01")
-    if not folder.exists():
-        pytest.skip("test tables not present")
-    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+def test_training_predicts_held_out_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = C.held_out_by_id()
-    sums = C.scores(docs, C.train(docs, "text", held), held).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert sums[0] > sums[1]
+    unseen = C.scores(docs, C.train(docs, "text", held), held).filter("held_out")
+    bits = unseen.agg(F.sum(F.col("bits_per_byte") * F.col("n_tokens")) / F.sum("n_tokens")).first()[0]
+    assert bits < 3.0  # 8 without training
 
 
 def test_thresholds_ascend_and_grades_are_learned(spark, make_docs, prose):
-    rows = [(i, prose(i, 60) + (" idiot scum" if i % 4 == 0 else " ### ||| ###" if i % 4 == 1 else "")) for i in range(200)]
-    labels = [(i, int(i % 4 != 1), int(i % 4 == 0)) for i in range(120)] + [(None, 1, 1), (3, None, None), (130, None, None), (2, 1, 0)]
+    rows = [(i, prose(i, 60) + (" idiot scum" if i % 4 == 0 else " ### ||| ###" if i % 4 == 1 else "")) for i in range(600)]
+    labels = [(i, int(i % 4 != 1), int(i % 4 == 0)) for i in range(500)] + [(None, 1, 1), (3, None, None), (530, None, None), (2, 1, 0)]
     frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     docs = make_docs(rows, clashing=True)
-    model = O.train(docs, frame, policy=O.FitPolicy(epochs=20))
+    model = O.train(docs, frame)
     assert model.thresholds[0] < model.thresholds[1]
     scored, g = O.scores(docs, model, carry=("doc_id", "grade"))
     got = {r["doc_id"]: r[g] for r in scored.collect()}
-    unseen = [i for i in range(120, 200)]
+    unseen = list(range(500, 600))
     right = sum(got[i]["kept"] == (i % 4 > 1) for i in unseen)
-    assert right >= 0.9 * len(unseen)
+    assert right >= 0.8 * len(unseen)
     mean = {k: sum(got[i]["expected_grade"] for i in unseen if i % 4 == k) for k in range(3)}
     assert mean[0] < mean[2] and mean[1] < mean[2]
 
