@@ -150,9 +150,10 @@ class WordCoder:
 
     def words_of(self, piece: str) -> list[str]:
         """The normalised words of a piece, in the letters that stand for bytes."""
+        if piece.isascii() and piece.isprintable():
+            return [piece.lower()] if piece.isalpha() else _WORD.findall(piece.lower())
         if max(piece) <= "\xff":
-            found = _WORD.findall(piece.lower())
-            return found if piece.isascii() and piece.isprintable() else [w.encode().decode("latin-1").translate(self.letters) for w in found]
+            return [w.encode().decode("latin-1").translate(self.letters) for w in _WORD.findall(piece.lower())]
         return [word for word, _ in self.split(self.normalise(piece))]
 
     def _word(self, word: str) -> tuple[int, str, str]:
