@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.hashing import LOWER, mix
-from strandline.llm.scratch import keep, pieces, ship
+from strandline.llm.scratch import keep, most_frequent, pieces, ship
 
 #: At five bytes the model beats single words on held-out texts; at four it does not.
 DEPTH = 5
@@ -416,8 +416,8 @@ def scores(docs: DataFrame, model: Model, held_out: Column, text: str = "text",
     """
     spark = docs.sparkSession
     ship(spark)
-    frequent = model.strings.orderBy(F.desc("n"), "code").limit(FREQUENT_STRINGS).select("code", "log").toArrow()
-    common = model.words.filter(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).toArrow()
+    frequent = most_frequent(model.strings, "n", FREQUENT_STRINGS).select("code", "log").toArrow()
+    common = most_frequent(model.words.filter(F.length("word") <= LONGEST), "c", FREQUENT_WORDS).toArrow()
     tables = spark.sparkContext.broadcast((_stream(frequent), _stream(common)))
     frame = docs.select(F.col(f"`{order}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("t"))
     kinds = ["bigint", "bigint", "bigint", "double", "double", "array<struct<key:string,n:bigint>>", "array<struct<key:bigint,n:bigint>>"]
