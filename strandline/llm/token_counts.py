@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from strandline.llm.rank_bpe import SPACE, vocabulary
-from strandline.llm.scratch import Remembered, keep, ship
+from strandline.llm.scratch import Remembered, keep, most_frequent, ship
 
 #: Entries of the broadcast table, of a task's summary, of a generation of a worker's cache; and the
 #: longest pre-token that the first two hold, which bounds their bytes.
@@ -105,7 +105,7 @@ def frequent_lengths(docs: DataFrame, spec, text: str = "text", most: int = FREQ
     entries of at most LONGEST characters, whatever the corpus."""
     frame = docs.select(F.col(f"`{text}`").alias("t"))
     summed = frame.mapInArrow(_summaries(spec), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = keep(summed.orderBy(F.desc("n"), "piece").limit(most).select("piece"), "frequent")
+    top = most_frequent(keep(summed, "summaries"), "n", most).select("piece")
     table = top.mapInArrow(_measured(spec), "piece string, n int").toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
