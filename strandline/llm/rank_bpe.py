@@ -144,7 +144,7 @@ class WordCoder:
         self.normalise = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.entries = Remembered(self._entry, REMEMBERED)
-        self.packed = Remembered(self._packed, REMEMBERED)
+        self.packed = Remembered(self._packed, 2 * REMEMBERED)
         self.words = Remembered(self._word, REMEMBERED)
         self.packed_words = Remembered(lambda word: array("I", self.merger.ids(word)).tobytes(), REMEMBERED)
 

@@ -128,6 +128,15 @@ def _expansions(table: np.ndarray, first_rule: int) -> np.ndarray:
     return sizes[first_rule:]
 
 
+def _gather(ids: np.ndarray, begin: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The ids of each symbol in turn, from the table of what symbols stand for."""
+    first = begin[symbols]
+    sizes = begin[symbols.astype(np.int64) + 1] - first
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1] if len(ends) else 0)
+    return ids[place + np.repeat(first - (ends - sizes), sizes)]
+
+
 class Shard:
     """A shard read back; ``ids`` decodes any range of ids, ``document`` one document."""
 
@@ -149,20 +158,31 @@ class Shard:
         self.sizes = take("<u4", n_docs).astype(np.int64)
         self.of_doc = take("<u4", n_docs).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self._table: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, begin): what every symbol stands for, one after the other.
+
+        A rule only has rules before it, so a block of rules whose parts are known is
+        spelled at once, as many blocks as rounds made them.
+        """
+        if self._table is None:
+            n = self.first_rule
+            ids, begin = np.arange(n, dtype=np.int64), np.arange(n + 1, dtype=np.int64)
+            done = 0
+            while done < len(self.rules):
+                known = n + done
+                later = np.flatnonzero((self.rules[done:] >= known).any(axis=1))
+                end = done + (int(later[0]) if len(later) else len(self.rules) - done)
+                more = _gather(ids, begin, self.rules[done:end].ravel())
+                begin = np.concatenate([begin, begin[-1] + np.cumsum(self.expansions[done:end], dtype=np.int64)])
+                ids = np.concatenate([ids, more])
+                done = end
+            self._table = ids, begin
+        return self._table
 
     def _expanded(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        while True:
-            is_rule = symbols >= self.first_rule
-            if not is_rule.any():
-                return symbols
-            place = np.cumsum(1 + is_rule) - (1 + is_rule)
-            out = np.empty(len(symbols) + int(is_rule.sum()), np.int64)
-            parts = self.rules[symbols[is_rule] - self.first_rule]
-            out[place[~is_rule]] = symbols[~is_rule]
-            out[place[is_rule]] = parts[:, 0]
-            out[place[is_rule] + 1] = parts[:, 1]
-            symbols = out
+        return _gather(*self._spelled(), symbols)
 
     def ids(self, first: int, end: int) -> np.ndarray:
         """Ids ``first`` to ``end`` of the shard: only symbols that reach into it are expanded."""
