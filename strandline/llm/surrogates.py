@@ -38,6 +38,8 @@ TITLES = {
 }
 
 _NAME = r"\p{Lu}\p{L}+"
+#: Where a title or first name can begin; tried before the long lists of them.
+_BEGINS = r"(?<!\p{L})(?=[\p{Lu}гκ])"
 
 
 def _any(words: str) -> str:
@@ -50,7 +52,7 @@ def _patterns() -> dict[str, str]:
     given = _any(" ".join(GIVEN.values()))
     octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
     return {
-        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
         "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{6,}",
         "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -58,7 +60,7 @@ def _patterns() -> dict[str, str]:
         "ip": rf"(?<![\d.])(?:{octet}\.){{3}}{octet}(?!\d|\.\d)",
         "phone": r"(?<![\d+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
         "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-        "name": rf"(?<!\p{{L}})(?:{titles})\.? {_NAME}(?: {_NAME})?|(?<!\p{{L}})(?:{given}) {_NAME}",
+        "name": rf"{_BEGINS}(?:(?:{titles})\.? {_NAME}(?: {_NAME})?|(?:{given}) {_NAME})",
     }
 
 
@@ -66,7 +68,7 @@ PATTERNS = _patterns()
 TYPES = tuple(PATTERNS)
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match has: a digit, an at sign, an assignment, a title or a first name.
-HINT = rf"[0-9@=]|(?i:password|passwd|pwd|secret|token|api_?key)|(?:{_any(' '.join([*TITLES.values(), *GIVEN.values()]))})[. ]"
+HINT = rf"[0-9@=:]|{_BEGINS}(?:{_any(' '.join([*TITLES.values(), *GIVEN.values()]))})[. ]"
 
 
 def _sql(pattern: str) -> str:
