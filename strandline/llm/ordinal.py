@@ -33,7 +33,7 @@ GRAM, SHARE = 4, 4.0
 class FitPolicy:
     """``sample`` bounds the labelled documents that the fit reads."""
 
-    sample: int = 8_000
+    sample: int = 6_000
     bits: int = 18
     epochs: int = 6
     batch: int = 100
