@@ -30,7 +30,7 @@ from strandline.llm.scratch import Remembered, pieces, ship
 
 SHORT = 200
 #: Pieces and words a worker remembers; see ``scratch.Remembered``.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 # Unicode white space as the vocabularies mean it (fixed value).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -66,15 +66,18 @@ def exactly(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
 
 
-def pieces(table: pa.Table | pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """(first, end) row ranges with about ``most`` bytes of text each, one row at least.
+def pieces(
+    table: pa.Table | pa.RecordBatch, column: str, most: int = 2_000_000, rows: int = 4096
+) -> Iterator[tuple[int, int]]:
+    """(first, end) ranges of at most ``rows`` rows with about ``most`` bytes of text each.
 
-    Bounds the memory of array work on a batch without splitting any text.
+    Bounds the memory of array work on a batch without splitting any text; a longer
+    text is a range of its own.
     """
     lengths = pc.binary_length(table.column(column)).fill_null(0).to_pylist()
     first, held = 0, 0
     for row, length in enumerate(lengths):
-        if held and held + length > most:
+        if held and (held + length > most or row - first == rows):
             yield first, row
             first, held = row, 0
         held += length + 1
