@@ -30,7 +30,8 @@ class TemplatePolicy:
     """``depth`` leading tokens lead to a leaf; a template recurs in ``min_docs``
     documents or more; lines of fewer than ``min_tokens`` tokens are left alone; a
     template with a smaller share of constants than ``constant_share`` is too general,
-    and its lines stand for themselves."""
+    and its lines stand for themselves: only lines equal in every token, digits too,
+    recur."""
 
     depth: int = 3
     min_docs: int = 3
@@ -39,17 +40,16 @@ class TemplatePolicy:
 
 
 def _parsed(text: str, policy: TemplatePolicy, masked: bool) -> Column:
-    """Array of struct(n, leaf, form[, masked]) for the lines of a text, in order."""
-    tokens = (
-        r"transform(filter(split(l, '[\\x20\\x09-\\x0D]+'), w -> w <> ''),"
-        f" w -> if(w rlike '[0-9]', '{WILD}', w))"
-    )
+    """Array of struct(n, leaf, form, masked or line) for the lines of a text, in order:
+    ``form`` hashes the masked tokens, ``line`` the tokens as they are."""
+    plain = r"filter(split(l, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    tokens = f"transform(ws, w -> if(w rlike '[0-9]', '{WILD}', w))"
     fields = (
         "named_struct('n', size(ts),"
         f" 'leaf', xxhash64(size(ts), slice(ts, 1, {policy.depth})),"
-        " 'form', xxhash64(array_join(ts, ' '))" + (", 'masked', array_join(ts, ' ')" if masked else "") + ")"
+        " 'form', xxhash64(array_join(ts, ' ')), " + ("'masked', array_join(ts, ' '))" if masked else "'line', xxhash64(array_join(ws, ' ')))")
     )
-    return F.expr(rf"transform(split(`{text}`, '\n', -1), l -> {let('ts', tokens, fields)})")
+    return F.expr(rf"transform(split(`{text}`, '\n', -1), l -> {let('ws', plain, let('ts', tokens, fields))})")
 
 
 def _long(lines: Column, policy: TemplatePolicy) -> Column:
@@ -84,8 +84,9 @@ def without_recurring_lines(
     templates = _templates(forms, policy)
 
     at = F.posexplode("lines").alias("pos", "line")
-    occurrences = entries.select("doc", at).select("doc", "pos", F.col("line.leaf").alias("leaf"), F.col("line.form").alias("form"))
-    placed = keep(occurrences.join(templates, ["leaf", "form"]).select("doc", "pos", "template"), "placed")
+    occurrences = entries.select("doc", at).select("doc", "pos", "line.leaf", "line.form", "line.line")
+    template = F.coalesce("template", F.xxhash64("line", F.lit("itself")))
+    placed = keep(occurrences.join(templates, ["leaf", "form"]).select("doc", "pos", template.alias("template")), "placed")
     recurring = (
         placed.select("template", "doc")
         .distinct()
@@ -132,7 +133,8 @@ def _forms(keyed: DataFrame, busy: DataFrame, policy: TemplatePolicy) -> DataFra
 
 
 def _templates(forms: DataFrame, policy: TemplatePolicy) -> DataFrame:
-    """(leaf, form, template): the template of every masked line, as a hash."""
+    """(leaf, form, template): the template of every masked line, as a hash; NULL if it
+    is too general."""
     spread = forms.select("leaf", "form", "docs", F.posexplode("tokens").alias("pos", "token"))
     constant = (
         spread.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= policy.min_docs)
@@ -144,5 +146,5 @@ def _templates(forms: DataFrame, policy: TemplatePolicy) -> DataFrame:
     built = marked.groupBy("form", "leaf").agg(in_order.alias("parts"), F.count("token").alias("constants"))
     general = F.col("constants") >= F.lit(policy.constant_share) * F.size("parts")
     fields = F.array_join(F.transform("parts", lambda p: F.coalesce(p["token"], F.lit(WILD))), " ")
-    template = F.when(general, F.xxhash64("leaf", fields)).otherwise(F.xxhash64("leaf", "form", F.lit("itself")))
+    template = F.when(general, F.xxhash64("leaf", fields))
     return keep(built.select("leaf", "form", template.alias("template")), "templates")

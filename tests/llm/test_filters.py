@@ -79,6 +79,15 @@ def test_words_become_variable_fields_too(make_docs):
     assert got[1][0] == ""
 
 
+def test_numeric_rows_recur_only_if_their_values_do(make_docs):
+    rows = [(i, f"{1980 + i} {i}.2 {3 * i}.1\n{i} apples {7 * i} {9 * i}") for i in range(6)]
+    rows += [(10 + i, f"2019 14.2   33.1\n{40 + i} 1 2 {i}") for i in range(4)]
+    got = cleaned(make_docs(rows))
+    assert all(got[i] == (rows[i][1], 2, 0) for i in range(6)), "equal shapes, different values"
+    assert got[10] == (rows[6][1], 2, 0)
+    assert all(got[10 + i] == (f"{40 + i} 1 2 {i}", 2, 1) for i in range(1, 4)), "the same values"
+
+
 def test_odd_texts_repeated_rows_and_no_rows(make_docs):
     rows = list(enumerate(ODD)) + [(None, "same line of words here")] * 4 + [(i, "same line of words here") for i in (50, 51)]
     got = cleaned(make_docs(rows))
