@@ -5,7 +5,8 @@ its leading tokens, where a token with a digit counts as a wildcard.  In a leaf
 enough documents reach, a token is constant if enough documents have it at its
 position, else it is a variable field; the line with its variable fields replaced is
 its template.  Lines of templates that recur across documents are dropped everywhere
-but in the first document.
+but in the first document.  Long lines that are equal in every token recur from fewer
+documents on, whatever their template.
 
 The tree is never built in one place: leaves, constants and templates are counts,
 each combined in its task before it is shuffled.
@@ -31,12 +32,15 @@ class TemplatePolicy:
     documents or more; lines of fewer than ``min_tokens`` tokens are left alone; a
     template with a smaller share of constants than ``constant_share`` is too general,
     and its lines stand for themselves: only lines equal in every token, digits too,
-    recur."""
+    recur.  Lines of ``exact_tokens`` tokens or more that are equal in every token
+    recur in ``exact_docs`` documents or more."""
 
     depth: int = 3
     min_docs: int = 3
     min_tokens: int = 3
     constant_share: float = 0.6
+    exact_tokens: int = 50
+    exact_docs: int = 2
 
 
 def _parsed(text: str, policy: TemplatePolicy, masked: bool) -> Column:
@@ -84,20 +88,26 @@ def without_recurring_lines(
     templates = _templates(forms, policy)
 
     at = F.posexplode("lines").alias("pos", "line")
-    occurrences = entries.select("doc", at).select("doc", "pos", "line.leaf", "line.form", "line.line")
+    occurrences = entries.select("doc", at).select("doc", "pos", "line.n", "line.leaf", "line.form", "line.line")
     template = F.coalesce("template", F.xxhash64("line", F.lit("itself")))
-    placed = keep(occurrences.join(templates, ["leaf", "form"]).select("doc", "pos", template.alias("template")), "placed")
+    by_template = occurrences.join(templates, ["leaf", "form"]).select(
+        "doc", "pos", template.alias("template"), F.lit(policy.min_docs).alias("least")
+    )
+    by_line = occurrences.filter(F.col("n") >= policy.exact_tokens).select(
+        "doc", "pos", F.xxhash64("line", F.lit("exactly")).alias("template"), F.lit(policy.exact_docs).alias("least")
+    )
+    placed = keep(by_template.unionByName(by_line), "placed")
     recurring = (
-        placed.select("template", "doc")
+        placed.select("template", "doc", "least")
         .distinct()
         .groupBy("template")
-        .agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
-        .filter(F.col("docs") >= policy.min_docs)
+        .agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.min("least").alias("least"))
+        .filter(F.col("docs") >= F.col("least"))
     )
     # written, so that the join below brings its own exchange and a hot template can be split
     recurring = keep(recurring, "recurring")
     dropped = keep(
-        placed.join(recurring, "template").filter("doc.key <> first.key").select(F.col("doc.key").alias("key"), "pos"), "dropped"
+        placed.join(recurring.drop("least"), "template").filter("doc.key <> first.key").select(F.col("doc.key").alias("key"), "pos"), "dropped"
     )
     per_doc = dropped.groupBy(F.col("key").alias(key)).agg(F.collect_set("pos").alias(gone_at))
 

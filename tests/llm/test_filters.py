@@ -88,6 +88,16 @@ def test_numeric_rows_recur_only_if_their_values_do(make_docs):
     assert all(got[10 + i] == (f"{40 + i} 1 2 {i}", 2, 1) for i in range(1, 4)), "the same values"
 
 
+def test_long_passages_recur_from_two_documents_on(make_docs, prose):
+    passage, short = prose(30, 50), prose(31, 49)
+    rows = [(i, f"{prose(i, 60)}\n{passage}\n{short}\n{prose(i + 10, 60)}") for i in (1, 2)]
+    rows += [(3, prose(32, 55)), (3, prose(32, 55)), (4, prose(33, 55) + " 1"), (5, prose(33, 55) + " 2")]
+    got = cleaned(make_docs(rows))
+    assert got[1] == (rows[0][1], 4, 0)
+    assert got[2] == (f"{prose(2, 60)}\n{short}\n{prose(12, 60)}", 4, 1)
+    assert all(got[i][2] == 0 for i in (3, 4, 5)), "repeated rows are one document, and these lines differ in a token"
+
+
 def test_odd_texts_repeated_rows_and_no_rows(make_docs):
     rows = list(enumerate(ODD)) + [(None, "same line of words here")] * 4 + [(i, "same line of words here") for i in (50, 51)]
     got = cleaned(make_docs(rows))
