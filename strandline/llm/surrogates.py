@@ -54,7 +54,7 @@ def _patterns() -> dict[str, str]:
     return {
         "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-        "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{6,}",
+        "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)(?=[+/_.~-]*[A-Za-z0-9])[A-Za-z0-9+/_.~-]{6,}",
         "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
         "card": r"(?<![\d-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
         "ip": rf"(?<![\d.])(?:{octet}\.){{3}}{octet}(?!\d|\.\d)",
@@ -147,28 +147,36 @@ def _luhn(digits: str) -> str:
 
 
 def surrogate(secret: str) -> Column:
-    """The surrogate of ``kind`` and ``value`` at ``attempt``."""
+    """The surrogate of ``kind`` and ``value`` at ``attempt``.
+
+    From the third attempt on each is longer than the one before, so no kind runs out
+    of surrogates; IP addresses become ones of the documentation block 2001:db8::/32.
+    """
+    longer = "greatest(cast(attempt AS int) - 1, 0)"
+    more_digits = f"repeat('0', {longer})"  # each 0 is replaced like the digits of the value
     digest = f"sha2(concat_ws('|', {_sql(secret)}, kind, value, cast(attempt AS string)), 512)"
     number = "pmod(conv(substr(h, {a}, 6), 16, 10), {n})"
-    email = f"concat({_in_format(chr(96) + 'local' + chr(96))}, '@', substr(h, 100, 8), '.example')".replace("`local`", "substring_index(value, '@', 1)")
+    email = f"concat({_in_format(chr(96) + 'local' + chr(96))}, '@', substr(h, 100, least(8 + {longer}, 29)), '.example')".replace("`local`", "substring_index(value, '@', 1)")
     ip = "concat_ws('.', {})".format(
         ", ".join([f"cast(240 + cast({number.format(a=1, n=16)} AS int) AS string)", *[f"cast(cast({number.format(a=a, n=256)} AS int) AS string)" for a in (11, 21, 31)]])
     )
+    ip = f"CASE WHEN {longer} = 0 THEN {ip} ELSE concat('2001:db8', array_join(transform(sequence(0, 5), i -> concat(':', substr(h, 4 * i + 1, 4))), '')) END"
     # a card keeps its first digit, its grouping, and whether its check digit is right
     digits = "regexp_replace(value, '[^0-9]', '')"
-    drawn = "concat(substr(ds, 1, 1), substr(translate(h, 'abcdef', '012345'), 1, length(ds) - 2))"
+    drawn = f"concat(substr(ds, 1, 1), substr(translate(h, 'abcdef', '012345'), 1, length(ds) - 2 + {longer}))"
     check = f"cast(pmod(10 - {_luhn('concat(body, ' + chr(39) + '0' + chr(39) + ')')} % 10 + CASE WHEN {_luhn('ds')} % 10 = 0 THEN 0 ELSE 5 END, 10) AS string)"
     regrouped = (
-        "array_join(transform(sequence(1, length(value)), i -> CASE WHEN substr(value, i, 1) rlike '[0-9]'"
-        " THEN substr(nd, length(regexp_replace(substr(value, 1, i), '[^0-9]', '')), 1) ELSE substr(value, i, 1) END), '')"
+        "concat(array_join(transform(sequence(1, length(value)), i -> CASE WHEN substr(value, i, 1) rlike '[0-9]'"
+        " THEN substr(nd, length(regexp_replace(substr(value, 1, i), '[^0-9]', '')), 1) ELSE substr(value, i, 1) END), ''),"
+        " substr(nd, length(ds) + 1))"
     )
     card = let("ds", digits, let("body", drawn, let("nd", f"concat(body, {check})", regrouped)))
     # a key keeps its prefix of four letters
-    key = f"concat(substr(value, 1, 4), {_in_format('substr(value, 5)')})"
+    key = f"concat(substr(value, 1, 4), {_in_format(f'concat(substr(value, 5), {more_digits})')})"
 
     # a telephone number keeps its country code, a bank account its country
-    phone = let("cc", r"regexp_extract(value, '^[+][0-9]{1,3}(?=[ .(-])', 0)", f"concat(cc, {_in_format('substr(value, length(cc) + 1)')})")
-    iban = f"concat(substr(value, 1, 2), {_in_format('substr(value, 3)')})"
+    phone = let("cc", r"regexp_extract(value, '^[+][0-9]{1,3}(?=[ .(-])', 0)", f"concat(cc, {_in_format(f'concat(substr(value, length(cc) + 1), {more_digits})')})")
+    iban = f"concat(substr(value, 1, 2), {_in_format(f'concat(substr(value, 3), {more_digits})')})"
 
     def picked(words: str, at: int) -> str:
         listed = words.split()
@@ -183,7 +191,7 @@ def surrogate(secret: str) -> Column:
     )
     body = (
         f"CASE WHEN kind = 'email' THEN {email} WHEN kind = 'ip' THEN {ip} WHEN kind = 'card' THEN {card}"
-        f" WHEN kind = 'key' THEN {key} WHEN kind = 'phone' THEN {phone} WHEN kind = 'iban' THEN {iban} {family} {given} ELSE {_in_format('value')} END"
+        f" WHEN kind = 'key' THEN {key} WHEN kind = 'phone' THEN {phone} WHEN kind = 'iban' THEN {iban} {family} {given} ELSE {_in_format(f'concat(value, {more_digits})')} END"
     )
     return F.expr(let("h", digest, body))
 
@@ -193,7 +201,8 @@ def mapping(entities: DataFrame, secret: str) -> DataFrame:
 
     A drawn surrogate is refused if it is a real value, if an entity settled before
     has it, or if an entity with a smaller value drew it too; what is refused is
-    drawn again with the next attempt.  Each round settles all but the collisions.
+    drawn again with the next attempt.  Each round settles all but the collisions, and
+    later attempts draw longer surrogates, so the rounds end.
     """
     real = entities.select("kind", F.col("value").alias("surrogate"))
     todo = entities.select("kind", "value", F.lit(0).alias("attempt"))

@@ -189,6 +189,23 @@ def test_collisions_are_drawn_again(spark):
     assert not set(got.values()) & {v for _, v in names}
 
 
+def test_forms_to_fill_in_are_no_secrets_and_no_format_runs_out(spark, make_docs):
+    assert re.search(S.PATTERNS["secret"], "token: ------") is None
+    blank = "Password: ________ token: ------ secret=./~+_-"
+    rows = [(0, blank)] + [(1 + i, f"token: -----{i}") for i in range(10)]
+    got = replaced(make_docs(rows))
+    assert got[0] == (blank, 0)
+    new = [got[1 + i][0] for i in range(10)]
+    assert all(re.fullmatch(r"token: -----\d{2,}", t) for t in new) and len(set(new)) == 10
+    # what a late attempt draws
+    values = [(t, v) for t, v in zip(("email", "ip", "phone", "card", "card", "key", "ssn", "iban"), FORMATS)] + [("secret", "a_____")]
+    late = spark.createDataFrame([(k, v, a) for k, v in values for a in range(12)], "kind string, value string, attempt int")
+    drawn = late.withColumn("s", S.surrogate("key")).collect()
+    assert len({(r["kind"], r["s"]) for r in drawn}) >= len(drawn) - 3
+    assert all(r["s"] and luhn(r["s"]) == luhn(r["value"]) for r in drawn if r["kind"] == "card")
+    assert all(len(r["s"]) == len(r["value"]) + max(r["attempt"] - 1, 0) for r in drawn if r["kind"] not in ("email", "ip"))
+
+
 def test_surrogates_of_odd_texts(make_docs):
     rows = [*enumerate(ODD), (None, "a@b.example"), (None, "a@b.example")]
     out, n = S.with_surrogates(make_docs(rows), "key")
