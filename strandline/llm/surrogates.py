@@ -2,7 +2,8 @@
 
 Entities are found by patterns.  Each gets a surrogate derived from a secret key and
 its value: of the same type, in the same format, for names of the same gender and
-script.  Equal entities get equal surrogates in all documents.  Surrogates are checked
+script.  Names are also replaced where they stand alone in a document that has them
+with a title or first name.  Equal entities get equal surrogates in all documents.  Surrogates are checked
 against each other and against all real entities, and drawn again until different
 entities have different surrogates, none of which is real.
 
@@ -38,6 +39,8 @@ TITLES = {
 }
 
 _NAME = r"\p{Lu}\p{L}+"
+#: Around a bare name: it is a whole word.
+_NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{M}])", r"(?![\p{L}\p{M}])"
 #: Where a title or first name can begin; tried before the long lists of them.
 _BEGINS = r"(?<!\p{L})(?=[\p{Lu}гκ])"
 
@@ -226,9 +229,11 @@ def with_surrogates(docs: DataFrame, secret: str, text: str = "text", order: str
 
     A NULL text stays NULL without entities; an empty one stays empty.  Documents that
     are equal in id and text, repeated rows too, are found once and get equal results.
-    The text between entities is left as it is.
+    Bare mentions of the names found in a document count as entities.  The rest of the
+    text between entities is left as it is.
     """
-    name, key, map_at = (unused(docs.columns, n) for n in ("n_entities", "pii_key", "pii_map"))
+    taken = ("n_entities", "pii_key", "pii_map", "pii_bare", "pii_names", "pii_done")
+    name, key, map_at, bare_at, names_at, done_at = (unused(docs.columns, n) for n in taken)
     identity = F.concat(exactly(F.col(f"`{order}`")), F.lit(":"), F.hex(F.xxhash64(f"`{text}`")))
     found = docs.filter(F.col(f"`{text}`").rlike(HINT)).select(identity.alias("key"), F.expr(matches(f"`{text}`")).alias("found"))
     listed = found.select("key", F.explode("found").alias("m")).select("key", F.explode(F.expr(parts("m"))).alias("p"))
@@ -238,19 +243,41 @@ def with_surrogates(docs: DataFrame, secret: str, text: str = "text", order: str
     per_doc = (
         mentions.join(named, ["kind", "value"])
         .groupBy(F.col("key").alias(key))
-        .agg(F.map_from_entries(F.collect_set(pairs)).alias(map_at))
+        .agg(
+            F.map_from_entries(F.collect_set(pairs)).alias(map_at),
+            # a word that is a family name and a first name counts as the family name
+            F.array_sort(F.collect_set(F.when(F.col("kind").rlike("^(?:family|given):"), F.struct("value", "kind", "surrogate")))).alias("all"),
+        )
+        .withColumn("one", F.expr("filter(all, (x, i) -> i = 0 OR x.value <> all[i - 1].value)"))
+        .withColumn(bare_at, F.expr("map_from_entries(transform(one, x -> struct(x.value, x.surrogate)))"))
+        .withColumn(names_at, F.expr(f"CASE WHEN size(one) > 0 THEN concat({_sql(_NOT_AFTER + '(?:')}, array_join(one.value, '|'), {_sql(')' + _NOT_BEFORE)}) END"))
+        .drop("all", "one")
     )
     joined = docs.withColumn(key, identity).join(per_doc, key, "left")
     part = f"CASE WHEN p.kind = '' THEN p.value ELSE `{map_at}`[concat_ws(':', p.kind, p.value)] END"
     replaced = f"array_join(transform({parts('m')}, p -> {part}), '')"
+    # a text between matches: what is around bare names, and their surrogates, in turn
+    bare = let(
+        "xs",
+        f"regexp_extract_all(b, `{names_at}`, 0)",
+        let("ys", f"split(b, `{names_at}`, -1)", f"named_struct('n', size(xs), 't', array_join(flatten(transform(ys, (y, j) -> CASE WHEN j = 0 THEN array(y) ELSE array(`{bare_at}`[xs[j - 1]], y) END)), ''))"),
+    )
+    bare = f"CASE WHEN `{names_at}` IS NULL THEN named_struct('n', 0, 't', b) ELSE {bare} END"
     # text between the matches and surrogates, in turn
     between = f"split(`{text}`, {_sql(FOUND)}, -1)"
     whole = let(
         "ms",
         matches(f"`{text}`"),
-        let("bs", between, f"array_join(flatten(transform(bs, (b, i) -> CASE WHEN i = 0 THEN array(b) ELSE transform(slice(ms, i, 1), m -> {replaced}) || array(b) END)), '')"),
+        let(
+            "bs",
+            f"transform({between}, b -> {bare})",
+            "named_struct('text', array_join(flatten(transform(bs, (b, i) -> CASE WHEN i = 0 THEN array(b.t)"
+            f" ELSE transform(slice(ms, i, 1), m -> {replaced}) || array(b.t) END)), ''),"
+            " 'n', size(ms) + aggregate(bs, 0, (n, b) -> n + b.n))",
+        ),
     )
-    cleaned = F.when(F.col(map_at).isNotNull(), F.expr(whole)).otherwise(F.col(f"`{text}`"))
-    count = F.when(F.col(map_at).isNotNull(), F.size(F.expr(matches(f"`{text}`")))).otherwise(0).cast("bigint")
+    joined = joined.withColumn(done_at, F.when(F.col(map_at).isNotNull(), F.expr(whole)))
+    cleaned = F.when(F.col(map_at).isNotNull(), F.col(done_at)["text"]).otherwise(F.col(f"`{text}`"))
+    count = F.coalesce(F.col(done_at)["n"], F.lit(0)).cast("bigint")
     columns = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, count.alias(name)), name

@@ -180,6 +180,21 @@ def test_names_keep_gender_script_and_reference(make_docs):
     assert russian and russian[1] in S.GIVEN["f", "cyrillic"].split() and re.fullmatch("[А-Яа-я]+", russian[2])
 
 
+def test_bare_mentions_of_a_name_are_replaced_too(make_docs):
+    rows = [
+        (1, "Schmidt? Anna Schmidt called. Schmidt left, Anna stayed; Schmidt's Annals, Schmidtke."),
+        (2, "Anna and Schmidt are not introduced here."),
+        (3, "г-жа Анна Петрова. Петрова, Анна."),
+    ]
+    got = replaced(make_docs(rows, clashing=True))
+    new = re.fullmatch(r"(\w+)\? (\w+) (\w+) called\. (\w+) left, (\w+) stayed; (\w+)'s Annals, Schmidtke\.", got[1][0])
+    family, given = {new[i] for i in (1, 3, 4, 6)}, {new[i] for i in (2, 5)}
+    assert len(family) == len(given) == 1 and not (family | given) & {"Schmidt", "Anna"}
+    assert got[1][1] == 5 and got[2] == (rows[1][1], 0)
+    new = re.fullmatch(r"г-жа (\w+) (\w+)\. (\w+), (\w+)\.", got[3][0])
+    assert new[1] == new[4] != "Анна" and new[2] == new[3] != "Петрова"
+
+
 def test_collisions_are_drawn_again(spark):
     # more men than first names, so some are drawn twice at the first attempt
     names = [(f"given:m:greek", f"Ονομα{chr(945 + i)}") for i in range(20)] + [("given:m:greek", n) for n in S.GIVEN["m", "greek"].split()]
