@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from strandline.llm import (
     context_tree,
     host_rules,
+    infill,
     line_templates,
+    multiset,
     ordinal,
     prob_minhash,
     rank_bpe,
     repair,
     surrogates,
     token_counts,
+    walsh_codes,
     wu_manber,
 )
 from strandline.llm.scratch import documents
@@ -112,7 +115,22 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.documents_in(shards).withColumnRenamed("id", "doc_id")
 
 
-_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op5_ordinal, op6_surrogates, op7_rank_bpe, op8_context_tree, op9_token_counts, op10_repair)
+def op11_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every sound vector under codebooks learnt from all of them."""
+    return walsh_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every rearranged document and of the text restored from it."""
+    return infill.fill_in_middle(documents(spark, sf_dir))
+
+
+def op13_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return multiset.fingerprints(documents(spark, sf_dir))
+
+
+_QUERIES: tuple[Query, ...] = (op1_line_templates, op2_host_rules, op3_prob_minhash, op4_wu_manber, op5_ordinal, op6_surrogates, op7_rank_bpe, op8_context_tree, op9_token_counts, op10_repair, op11_walsh_codes, op12_fill_in_middle, op13_multiset_hash)
 
 
 def queries() -> dict[str, Query]:

@@ -103,4 +103,148 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-TWINS: dict[str, str] = {"op2_host_rules": OP2, "op4_wu_manber": OP4}
+_OP11_ROUND = r"""
+near{k} AS MATERIALIZED (
+  SELECT vec_id, p, arg_min(entry, d * 1000 + entry) AS entry, min(d) AS d FROM (
+    SELECT x.vec_id, x.p, b.entry,
+           list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))::BIGINT AS d
+    FROM parts x JOIN book{k} b USING (p)
+  ) GROUP BY vec_id, p
+),
+"""
+
+_OP11_BOOK = r"""
+moved{k} AS (
+  SELECT p, entry, i, floor(sum(c) / count(*))::BIGINT AS c
+  FROM (SELECT p, near{k}.entry, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS c
+        FROM near{k} JOIN parts USING (vec_id, p))
+  GROUP BY p, entry, i
+),
+book{next} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m.v, b.v) AS v
+  FROM book{k} b LEFT JOIN (SELECT p, entry, list(c ORDER BY i) AS v FROM moved{k} GROUP BY p, entry) m USING (p, entry)
+),
+"""
+
+OP11 = (
+    r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v
+  FROM kept, (SELECT unnest(range(4)) AS p)
+),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 256),
+book0 AS MATERIALIZED (SELECT p, entry, v FROM seeds JOIN parts USING (vec_id)),
+"""
+    + "".join(_OP11_ROUND.format(k=k) + _OP11_BOOK.format(k=k, next=k + 1) for k in range(4))
+    + _OP11_ROUND.format(k=4)
+    + r"""
+found AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM near4 GROUP BY vec_id
+),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book4
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN found USING (vec_id), digest
+"""
+)
+
+OP12 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+),
+drawn AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM cut
+),
+formed AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50
+                 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high
+  FROM drawn
+),
+split AS (
+  SELECT doc_id, n, form, t, array_to_string(units[1:low], '') AS prefix,
+         array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix
+  FROM formed
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+FROM split
+"""
+
+OP13 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n FROM documents
+),
+pairs AS (
+  SELECT *, coalesce(lead(t) OVER o, first_value(t) OVER o) AS next_t,
+         coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+  FROM texts WINDOW o AS (ORDER BY doc_id)
+),
+edits AS (SELECT *, left(t, n - n // 2) || left(next_t, n // 2) AS edited FROM pairs),
+both_texts AS (SELECT doc_id, 0 AS kind, t FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+lines AS (
+  SELECT doc_id, kind, l FROM (SELECT doc_id, kind, unnest(string_split(t, chr(10))) AS l FROM both_texts)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+),
+entries AS (
+  SELECT l, k, (v & 4294901760) + 2 * (v & 1) - 1 AS e FROM (
+    SELECT l, k, ('0x' || substr(sha256((k // 8) || ':' || l), 8 * (k % 8) + 1, 8))::BIGINT AS v
+    FROM (SELECT DISTINCT l FROM lines), (SELECT unnest(range(128)) AS k)
+  )
+),
+sums AS (
+  SELECT doc_id, kind, k, ((sum(e) % 4294967296 + 4294967296) % 4294967296)::BIGINT AS s
+  FROM lines JOIN entries USING (l) GROUP BY doc_id, kind, k
+),
+prints AS (
+  SELECT doc_id, kind, string_agg(printf('%08x', coalesce(s, 0)), '' ORDER BY k) AS print,
+         list(CASE WHEN coalesce(s, 0) & 65535 >= 32768 THEN (s & 65535) - 65536 ELSE coalesce(s, 0) & 65535 END ORDER BY k) AS x
+  FROM both_texts CROSS JOIN (SELECT unnest(range(128)) AS k) LEFT JOIN sums USING (doc_id, kind, k)
+  GROUP BY doc_id, kind
+),
+three AS (
+  SELECT d.doc_id, d.n, d.edited, d.next_id, a.print AS pa, b.print AS pb, c.print AS pc, a.x AS xa, b.x AS xb, c.x AS xc
+  FROM edits d JOIN prints a ON a.doc_id = d.doc_id AND a.kind = 0
+  JOIN prints b ON b.doc_id = d.doc_id AND b.kind = 1 JOIN prints c ON c.doc_id = d.next_id AND c.kind = 0
+),
+products AS (
+  SELECT *, list_sum(list_transform(range(1, 129), lambda i: xa[i] * xa[i])) AS aa,
+         list_sum(list_transform(range(1, 129), lambda i: xb[i] * xb[i])) AS bb,
+         list_sum(list_transform(range(1, 129), lambda i: xc[i] * xc[i])) AS cc,
+         list_sum(list_transform(range(1, 129), lambda i: xa[i] * xb[i])) AS ab,
+         list_sum(list_transform(range(1, 129), lambda i: xa[i] * xc[i])) AS ac, repeat('0', 1024) AS zero
+  FROM three
+)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, pa AS fingerprint, pb AS edited_fingerprint,
+       CASE WHEN pa = pb THEN 1.0::DOUBLE WHEN pa = zero OR pb = zero THEN 0.0::DOUBLE
+            ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2.0::DOUBLE * ab::DOUBLE / (aa + bb)::DOUBLE)) END AS near_edited,
+       CASE WHEN pa = pc THEN 1.0::DOUBLE WHEN pa = zero OR pc = zero THEN 0.0::DOUBLE
+            ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2.0::DOUBLE * ac::DOUBLE / (aa + cc)::DOUBLE)) END AS near_next,
+       next_id
+FROM products
+"""
+
+TWINS: dict[str, str] = {
+    "op2_host_rules": OP2,
+    "op4_wu_manber": OP4,
+    "op11_walsh_codes": OP11,
+    "op12_fill_in_middle": OP12,
+    "op13_multiset_hash": OP13,
+}
