@@ -106,7 +106,7 @@ def likeness(one: Column, two: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
 
     sums = F.struct(F.transform(one, sign_sum).alias("x"), F.transform(two, sign_sum).alias("y"))
-    none = (F.array_max(F.transform(one, F.abs)) == 0) | (F.array_max(F.transform(two, F.abs)) == 0)
+    none = (one == nothing()) | (two == nothing())
     return F.when(one == two, 1.0).when(none, 0.0).otherwise(F.transform(F.array(sums), of_sums)[0])
 
 

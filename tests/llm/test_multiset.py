@@ -116,6 +116,13 @@ def test_likeness_follows_the_shared_paragraphs(spark):
     assert all(abs(f - e) < 0.25 for f, e in zip(found, (0, 1 / 3, 2 / 3, 1)))
 
 
+def test_likeness_of_extreme_lanes(spark):
+    low = f"array_repeat({-(1 << 31)}, {M.LANES})"
+    df = spark.range(1).select(F.expr(low).alias("x"), M.nothing().alias("zero"), F.array_repeat(F.lit(1), M.LANES).alias("one"))
+    found = df.select(M.likeness(F.col("x"), F.col("one")), M.likeness(F.col("x"), F.col("zero")), M.likeness(F.col("one"), F.col("one"))).first()
+    assert tuple(found) == (0.0, 0.0, 1.0)
+
+
 def test_very_long_text(make_docs):
     rows = [(1, "z" * 5_000_000), (2, "w\n" * 20_000), (3, "a\nb")]
     assert rows_of(M.fingerprints(make_docs(rows))) == expected(rows)
