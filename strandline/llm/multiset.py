@@ -34,15 +34,15 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: p.rlike(_INK))
 
 
-def _hashes(paragraph: Column) -> Column:
-    """Enough SHA-256 digests for all lanes, eight lanes of eight digits each."""
-    return F.array(*[F.sha2(F.concat(F.lit(f"{k}:"), paragraph), 256) for k in range(LANES // 8)])
+def _words(paragraph: Column) -> Column:
+    """LANES words of eight hex digits, from SHA-256 digests of the numbered paragraph."""
+    hashes = F.array(*[F.sha2(F.concat(F.lit(f"{k}:"), paragraph), 256) for k in range(LANES // 8)])
+    return F.flatten(F.transform(hashes, lambda h: F.array(*[F.substring(h, 8 * j + 1, 8) for j in range(8)])))
 
 
-def _entry(hashes: Column, lane: Column) -> Column:
-    digits = F.get(hashes, F.shiftright(lane, 3)).substr(lane.bitwiseAND(7) * 8 + 1, F.lit(8))
-    value = F.conv(digits, 16, 10).cast("bigint")
-    return value.bitwiseAND(0xFFFF0000) + value.bitwiseAND(1) * 2 - 1
+def _entry(word: Column) -> Column:
+    """High half of the word; its second lowest bit is the sign of the one."""
+    return F.conv(word, 16, 10).cast("bigint").bitwiseAND(0xFFFF0002) - 1
 
 
 def _narrow(lanes: Column) -> Column:
@@ -51,8 +51,10 @@ def _narrow(lanes: Column) -> Column:
 
 def _moved(fingerprint: Column, parts: Column, sign: int) -> Column:
     wide = F.transform(fingerprint, lambda a: a.cast("bigint").bitwiseAND(_MASK))
-    step = lambda acc, h: F.transform(acc, lambda a, k: (a + sign * _entry(h, k)).bitwiseAND(_MASK))
-    return _narrow(F.aggregate(F.transform(parts, _hashes), wide, step))
+    step = lambda acc, part: F.zip_with(
+        acc, _words(part), lambda a, w: (a + _entry(w) if sign > 0 else a - _entry(w)).bitwiseAND(_MASK)
+    )
+    return _narrow(F.aggregate(parts, wide, step))
 
 
 def nothing() -> Column:

@@ -204,7 +204,7 @@ lines AS (
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
 ),
 entries AS (
-  SELECT l, k, (v & 4294901760) + 2 * (v & 1) - 1 AS e FROM (
+  SELECT l, k, (v & 4294901762) - 1 AS e FROM (
     SELECT l, k, ('0x' || substr(sha256((k // 8) || ':' || l), 8 * (k % 8) + 1, 8))::BIGINT AS v
     FROM (SELECT DISTINCT l FROM lines), (SELECT unnest(range(128)) AS k)
   )

@@ -20,7 +20,7 @@ def vector(paragraph):
     for k in range(M.LANES // 8):
         digits = hashlib.sha256(f"{k}:{paragraph}".encode()).hexdigest()
         lanes += [int(digits[8 * j : 8 * j + 8], 16) for j in range(8)]
-    return [(v & 0xFFFF0000) + 2 * (v & 1) - 1 for v in lanes]
+    return [(v & 0xFFFF0002) - 1 for v in lanes]
 
 
 def plain(text):
