@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.scratch import exactly, keep, unused
+from strandline.llm.scratch import discard, exactly, keep, unused
 
 #: White space between words, and what counts as a symbol (fixed values).
 GAPS = r"[\x20\x09-\x0D]+"
@@ -143,15 +143,17 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * strength, (1.0 - mean) * strength
 
 
-def host_table(scored: DataFrame, policy: HostPolicy, host_key: str, failed: Column) -> DataFrame:
-    """One row per host: documents, failures, shrunk rate, verdict.
+def host_counts(scored: DataFrame, host_key: str, failed: Column) -> DataFrame:
+    """(host, n documents, failed ones), written.
 
     Counts are combined in each task before the shuffle, so a host with a third of
     all documents costs its reducer no more rows than any other.
     """
-    counted = scored.groupBy(F.col(host_key)).agg(
-        F.count("*").alias("n"), F.count_if(failed).alias("failed")
-    )
+    return keep(scored.groupBy(F.col(host_key)).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed")), "host-counts")
+
+
+def host_verdicts(counted: DataFrame, policy: HostPolicy) -> DataFrame:
+    """One row per host: documents, failures, shrunk rate, verdict."""
     a, b = beta_prior(counted)
     rate = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
     verdict = (
@@ -159,7 +161,7 @@ def host_table(scored: DataFrame, policy: HostPolicy, host_key: str, failed: Col
         .when(rate > policy.suspect_rate, "suspect")
         .otherwise("ok")
     )
-    return counted.select(host_key, "n", "failed", rate.alias("rate"), verdict.alias("verdict"))
+    return counted.select("*", rate.alias("rate"), verdict.alias("verdict"))
 
 
 def judged(docs: DataFrame, text: str = "text", host: str = "source", policy: HostPolicy = HostPolicy(), carry: tuple[str, ...] | None = None) -> tuple[DataFrame, str]:
@@ -187,7 +189,8 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", policy: Ho
     rules = failures(m, policy)
     failed = rules["short"] | rules["repeats"] | rules["symbols"] | rules["dup_lines"]
     base_failed = rules["short"] | rules["repeats"]
-    hosts = host_table(scored, policy, key, failed)
+    # the counts are a written table: the join brings its own exchange, and a hot host can be split
+    hosts = host_verdicts(host_counts(scored, key, failed), policy)
     of_host = F.struct("n", "failed", "rate", "verdict").alias(host_at)
     joined = scored.join(hosts.select(key, of_host), key)
     h = F.col(host_at)
@@ -202,3 +205,24 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", policy: Ho
         kept.alias("kept"),
     )
     return joined.select(*[F.col(f"`{c}`") for c in carried], out.alias(name)), name
+
+
+def accepted(docs: DataFrame, text: str = "text", host: str = "source", policy: HostPolicy = HostPolicy()) -> DataFrame:
+    """The documents that ``judged`` keeps, with their columns.
+
+    For whole texts: they are measured twice instead of being written or sent to their
+    hosts.  Only hosts that are not ok are joined, to documents that pass on their own.
+    """
+    key, name, verdict = (unused(docs.columns, n) for n in ("host_key", "quality", "of_host"))
+    m = F.col(f"`{name}`")
+    rules = failures(m, policy)
+    failed = rules["short"] | rules["repeats"] | rules["symbols"] | rules["dup_lines"]
+    at = exactly(F.col(f"`{host}`")).alias(key)
+    counted = host_counts(docs.select(at, measures(text).alias(name)), key, failed)
+    hosts = host_verdicts(counted, policy)
+    bad = keep(hosts.filter("verdict <> 'ok'").select(key, F.col("verdict").alias(verdict)), "bad-hosts")
+    discard(counted)
+    passed = docs.select("*", at, measures(text).alias(name)).filter(~(rules["short"] | rules["repeats"]))
+    joined = passed.withColumn(name, failed).join(bad, key, "left")
+    kept = F.col(verdict).isNull() | ((F.col(verdict) == "suspect") & ~m)
+    return joined.filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import distinct_keys
 from strandline.llm.host_rules import let
-from strandline.llm.scratch import exactly, keep, unused
+from strandline.llm.scratch import discard, exactly, keep, unused
 
 WILD = "<*>"
 
@@ -109,6 +109,7 @@ def without_recurring_lines(
     dropped = keep(
         placed.join(recurring.drop("least"), "template").filter("doc.key <> first.key").select(F.col("doc.key").alias("key"), "pos"), "dropped"
     )
+    discard(entries, busy, forms, templates, placed, recurring)
     per_doc = dropped.groupBy(F.col("key").alias(key)).agg(F.collect_set("pos").alias(gone_at))
 
     joined = docs.withColumn(key, identity).join(per_doc, key, "left")
@@ -149,6 +150,8 @@ def _templates(forms: DataFrame, policy: TemplatePolicy) -> DataFrame:
     constant = (
         spread.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= policy.min_docs)
     )
+    # written, so that a leaf with most lines, one key of this join, can be split
+    constant = keep(constant, "constants")
     marked = spread.join(constant, ["leaf", "pos", "token"], "left").select(
         "leaf", "form", "pos", F.when((F.col("support").isNotNull()) & (F.col("token") != WILD), F.col("token")).alias("token")
     )
@@ -157,4 +160,6 @@ def _templates(forms: DataFrame, policy: TemplatePolicy) -> DataFrame:
     general = F.col("constants") >= F.lit(policy.constant_share) * F.size("parts")
     fields = F.array_join(F.transform("parts", lambda p: F.coalesce(p["token"], F.lit(WILD))), " ")
     template = F.when(general, F.xxhash64("leaf", fields))
-    return keep(built.select("leaf", "form", template.alias("template")), "templates")
+    found = keep(built.select("leaf", "form", template.alias("template")), "templates")
+    discard(constant)
+    return found

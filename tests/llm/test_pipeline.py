@@ -21,7 +21,7 @@ def names():
 
 
 def test_all_queries_are_registered(names):
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and len(names) == 10
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and len(names) == 13
     assert names | {"pipeline"} <= set(contract.queries())
     assert set(queries.oracle_sql()) <= names
 
