@@ -21,8 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     NULL and empty texts are too short and go.  Repeated rows are judged alike.
     """
-    scored, q = host_rules.judged(docs)
-    return scored.filter(F.col(f"`{q}`.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return host_rules.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
