@@ -360,6 +360,22 @@ def oracle_sql() -> dict[str, str]:
             + _has_any(("emerging",), q.SEARCH_TERMS),
             "topic_labels",
         ),
+        "ix_any_emerging": _with(
+            "SELECT beta, ti AS topic_id FROM topic_labels WHERE "
+            + _has_any(("emerging",), q.SEARCH_TERMS),
+            "topic_labels",
+        ),
+        "ix_emerge": _pivots(_has("emerging", _T)),
+        "ix_contains": _pivots(contains),
+        "ix_all": _pivots(f"{_has('emerging', _T)} AND {_has('stable', q.OTHER_TERM)}"),
+        "ix_counts": _with(
+            " UNION ALL ".join(
+                f"SELECT term, '{kind}' AS kind, count(*) AS postings FROM (SELECT DISTINCT direction, beta,"
+                f" topic_id, unnest(string_split({kind}, ',')) AS term FROM pivots) WHERE term <> '' GROUP BY term"
+                for kind in _LABELS
+            ),
+            "pivots",
+        ),
         "f_emerge": _pivots(_has("emerging", _T)),
         "f_decay": _pivots(_has("decaying", _T)),
         "f_stable": _pivots(_has("stable", _T)),

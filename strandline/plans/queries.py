@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from strandline.functions import joined
 from strandline.functions.columns import AT_LEAST, AT_MOST
 from strandline.operators import PivotSet, graphs, lookups, terms
+from strandline.operators.label_index import LabelIndex
 from strandline.plans import derive
 from strandline.plans.export import export_corpus
 from strandline.plans.views import register_views
@@ -116,6 +117,23 @@ def _exported(fmt: str, table: str) -> Query:
     return _on_corpus(run)
 
 
+_indexes: dict[tuple[str, str], LabelIndex] = {}
+
+
+def index_of(corpus: derive.DerivedCorpus, table: str) -> LabelIndex:
+    """The label index of a table, written once per corpus."""
+    with _lock:
+        key = (corpus.workspace.root, table)
+        if key not in _indexes:
+            id_column = "ti" if table == "labels" else "topic_id"
+            _indexes[key] = LabelIndex.build(corpus.table(table), corpus.workspace, f"index_{table}", id_column)
+        return _indexes[key]
+
+
+def _on_index(table: str, build: Callable[[LabelIndex], DataFrame]) -> Query:
+    return _on_corpus(lambda corpus: build(index_of(corpus, table)))
+
+
 def _label_search_edges(corpus: derive.DerivedCorpus) -> DataFrame:
     found = lookups.topics_labelled_with_any(corpus, "emerging", SEARCH_TERMS, SEARCH_BETA)
     return graphs.subgraphs_of(corpus.paths(SEARCH_BETA), found)
@@ -178,6 +196,14 @@ def queries() -> dict[str, Query]:
         "labels_any_emerging": _on_corpus(
             lambda c: lookups.topics_labelled_with_any(c, "emerging", SEARCH_TERMS)
         ),
+        # the same searches through the label index
+        "ix_any_emerging": _on_index(
+            "labels", lambda i: i.ids(SEARCH_TERMS, ["emerging"]).select("beta", F.col("ti").alias("topic_id"))
+        ),
+        "ix_emerge": _on_index("pivots", lambda i: i.rows_with(TERM, "emerging")),
+        "ix_contains": _on_index("pivots", lambda i: i.rows_with(TERM)),
+        "ix_all": _on_index("pivots", lambda i: i.rows_with_all(emerging=TERM, stable=OTHER_TERM)),
+        "ix_counts": _on_index("pivots", lambda i: i.counts()),
         # pivot filters
         "f_emerge": _on_pivots(lambda p: p.emerge(TERM)),
         "f_decay": _on_pivots(lambda p: p.decay(TERM)),
