@@ -69,7 +69,9 @@ def _places(pairs: np.ndarray, allowed: np.ndarray, chosen: np.ndarray) -> tuple
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, first_rule: int) -> bytes:
-    """A shard of documents of ``sizes`` ids each."""
+    """A shard of documents of ``sizes`` ids each, all below ``first_rule``."""
+    if first_rule > SYMBOLS:
+        raise ValueError(f"the format holds vocabularies of at most {SYMBOLS} ids, not {first_rule}")
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True

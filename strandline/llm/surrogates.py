@@ -37,8 +37,9 @@ TITLES = {
     "m": "Mr Herr Monsieur Señor Sr Don г-н κύριος",
     "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Doña г-жа κυρία",
 }
+# Titles that say nothing of gender, alone or after others (fixed values).
+RANKS = "Dr Prof Professor Doctor Doktor Rev Capt Ing"
 
-_NAME = r"\p{Lu}\p{L}+"
 #: Around a bare name: it is a whole word.
 _NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{M}])", r"(?![\p{L}\p{M}])"
 #: Where a title or first name can begin; tried before the long lists of them.
@@ -49,9 +50,13 @@ def _any(words: str) -> str:
     return "|".join(sorted(words.split(), key=lambda w: (-len(w), w)))
 
 
+_TITLES = _any(" ".join([*TITLES.values(), RANKS]))
+#: A word with a capital that is no title itself.
+_NAME = rf"(?!(?:{_TITLES}){_NOT_BEFORE})\p{{Lu}}\p{{L}}+"
+
+
 def _patterns() -> dict[str, str]:
     """Types and their patterns; of matches that begin together, the first type wins."""
-    titles = _any(" ".join(TITLES.values()))
     given = _any(" ".join(GIVEN.values()))
     octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
     return {
@@ -63,7 +68,7 @@ def _patterns() -> dict[str, str]:
         "ip": rf"(?<![\d.])(?:{octet}\.){{3}}{octet}(?!\d|\.\d)",
         "phone": r"(?<![\d+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
         "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-        "name": rf"{_BEGINS}(?:(?:{titles})\.? {_NAME}(?: {_NAME})?|(?:{given}) {_NAME})",
+        "name": rf"{_BEGINS}(?:(?:(?:{_TITLES})\.? )+{_NAME}(?: {_NAME})?|(?:{given}) {_NAME})",
     }
 
 
@@ -71,7 +76,7 @@ PATTERNS = _patterns()
 TYPES = tuple(PATTERNS)
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match has: a digit, an at sign, an assignment, a title or a first name.
-HINT = rf"[0-9@=:]|{_BEGINS}(?:{_any(' '.join([*TITLES.values(), *GIVEN.values()]))})[. ]"
+HINT = rf"[0-9@=:]|{_BEGINS}(?:{_any(' '.join([*TITLES.values(), RANKS, *GIVEN.values()]))})[. ]"
 
 
 def _sql(pattern: str) -> str:
@@ -91,20 +96,21 @@ def matches(text: str) -> str:
 def parts(match: str) -> str:
     """SQL: the parts of a match, as struct(kind, value); kind '' is literal text.
 
-    A name is its title, first name and family name, apart, so that the family name
+    A name is its titles, first name and family name, apart, so that the family name
     is the same entity wherever it occurs; a secret is its label and its value.
     """
     script = f"CASE WHEN w rlike {_sql(r'\p{IsCyrillic}')} THEN 'cyrillic' WHEN w rlike {_sql(r'\p{IsGreek}')} THEN 'greek' ELSE 'latin' END"
-    men, women = (f"array({', '.join(_sql(w) for g, s in GIVEN for w in GIVEN[g, s].split() if g == want)})" for want in "mf")
-    title_m, title_f = (f"^(?:{_any(TITLES[g])})[.]?$" for g in "mf")
+    women = f"array({', '.join(_sql(w) for g, s in GIVEN for w in GIVEN[g, s].split() if g == 'f')})"
+    title_m, title_f, title = (f"^(?:{t})[.]?$" for t in (_any(TITLES["m"]), _any(TITLES["f"]), _TITLES))
+    # the first title with a gender, else the first name
+    first = f"filter(ws, w -> NOT w rlike {_sql(title)})[0]"
     gender = (
-        f"CASE WHEN ws[0] rlike {_sql(title_m)} THEN 'm' WHEN ws[0] rlike {_sql(title_f)} THEN 'f'"
-        f" WHEN array_contains({men}, ws[0]) THEN 'm' WHEN array_contains({women}, ws[0]) THEN 'f' ELSE 'm' END"
+        f"CASE WHEN exists(ws, w -> w rlike {_sql(title_f)}) THEN 'f' WHEN exists(ws, w -> w rlike {_sql(title_m)}) THEN 'm'"
+        f" WHEN array_contains({women}, {first}) THEN 'f' ELSE 'm' END"
     )
-    titled = f"(ws[0] rlike {_sql(title_m)} OR ws[0] rlike {_sql(title_f)})"
     word = (
         "named_struct('kind', CASE"
-        f" WHEN i = 0 AND {titled} THEN ''"
+        f" WHEN w rlike {_sql(title)} THEN ''"
         f" WHEN i = size(ws) - 1 AND size(ws) > 1 THEN concat('family:', {script})"
         f" ELSE concat('given:', {gender}, ':', {script}) END, 'value', w)"
     )

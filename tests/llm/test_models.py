@@ -195,6 +195,25 @@ def test_bare_mentions_of_a_name_are_replaced_too(make_docs):
     assert new[1] == new[4] != "Анна" and new[2] == new[3] != "Петрова"
 
 
+def test_chains_of_titles_are_no_names(make_docs):
+    rows = [
+        (1, "Dr. Smith met Prof. Weber, Frau Dr. Müller and Prof. Dr. Anna Klein. Smith and Müller left; Dr. Who?"),
+        (2, "Frau Müller came with Dr Smith, Prof. Dr. No one."),
+        (3, "The Dr. is in. Frau Dr."),
+    ]
+    got = replaced(make_docs(rows))
+    new = re.fullmatch(
+        r"Dr\. (\w+) met Prof\. (\w+), Frau Dr\. (\w+) and Prof\. Dr\. (\w+) (\w+)\. (\w+) and (\w+) left; Dr\. (\w+)\?", got[1][0]
+    )
+    smith, weber, mueller, anna, klein = (new[i] for i in range(1, 6))
+    assert new[6] == smith and new[7] == mueller
+    assert not {smith, weber, mueller, anna, klein} & {"Smith", "Weber", "Müller", "Anna", "Klein", "Dr", "Prof"}
+    assert len({smith, weber, mueller, klein}) == 4
+    assert anna in S.GIVEN["f", "latin"].split()
+    assert got[2][0].startswith(f"Frau {mueller} came with Dr {smith}, Prof. Dr. ")
+    assert got[3] == (rows[2][1], 0)
+
+
 def test_collisions_are_drawn_again(spark):
     # more men than first names, so some are drawn twice at the first attempt
     names = [(f"given:m:greek", f"Ονομα{chr(945 + i)}") for i in range(20)] + [("given:m:greek", n) for n in S.GIVEN["m", "greek"].split()]

@@ -73,6 +73,13 @@ def documents_of(seed, n):
     return [np.concatenate([*(phrases[i] for i in source.integers(0, 60, source.integers(0, 40))), [1]]).astype(np.uint32) for _ in range(n)]
 
 
+def test_a_vocabulary_beyond_the_format_is_an_error():
+    ids = np.array([70_000, 70_001, 1], np.uint32)
+    with pytest.raises(ValueError, match="65536"):
+        repair.compress(ids, np.array([3], np.int64), 70_002)
+    assert repair.Shard(repair.compress(ids % 65_536, np.array([3], np.int64), 65_536)).all().tolist() == [4464, 4465, 1]
+
+
 @pytest.mark.parametrize("docs", [documents_of(1, 300), [np.array([1], np.uint32)], [np.array([5] * 5001, np.uint32)], []])
 def test_shards_give_back_all_ranges(docs):
     ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
