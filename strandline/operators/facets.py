@@ -50,7 +50,11 @@ def bounds(rows: DataFrame) -> DataFrame:
         F.min("start_year").alias("first_year"),
         F.max("end_year").alias("last_year"),
     )
-    # a missing side counts as liveliness 0 and degree 1
+    return over_sides(per_side)
+
+
+def over_sides(per_side: DataFrame) -> DataFrame:
+    """Bounds of both sides; a missing one counts as liveliness 0 and degree 1."""
     return per_side.agg(
         F.greatest(F.max("liveliness"), F.lit(0).cast("bigint")).alias("max_liveliness"),
         F.greatest(F.max("split"), F.lit(1.0)).alias("max_split_degree"),

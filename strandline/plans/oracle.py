@@ -295,10 +295,26 @@ _T = q.TERM
 _O = q.OTHER_TERM
 _SIM = "round(sim, 6) AS sim"
 
+#: Queries that give the rows of another one by other means.
+_SAME = {
+    "co_sel_edges": "g_sel_edges",
+    "co_sel_multi_edges": "g_sel_multi_edges",
+    "co_sel_nodes": "g_sel_nodes",
+    "co_sel_timeline_nodes": "g_sel_timeline_nodes",
+    "co_sel_shape": "g_sel_shape",
+    "co_single_edges": "g_single_edges",
+    "inc_term_freq": "term_freq",
+    "inc_label_per_period": "label_per_period",
+    "inc_period_terms": "period_terms",
+    "sum_describe": "rep_describe",
+    "sum_describe_cols": "rep_describe_cols",
+    "sum_bounds": "facet_bounds",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     contains = _has_any(_LABELS, (_T,))
-    return {
+    found = {
         "pivots_load": _pivots(),
         "paths_scan": _paths("beta = 0.5"),
         "src_json": _pivots(),
@@ -584,3 +600,4 @@ def oracle_sql() -> dict[str, str]:
             "period_dim",
         ),
     }
+    return found | {name: found[twin] for name, twin in _SAME.items()}

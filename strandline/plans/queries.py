@@ -17,11 +17,15 @@ from pyspark.sql.types import ArrayType, DoubleType
 from strandline.functions import joined
 from strandline.functions.columns import AT_LEAST, AT_MOST
 from strandline.operators import PivotSet, graphs, lookups, terms
+from strandline.operators.colocated import ColocatedEdges, ColocatedGraphs
 from strandline.operators.label_index import LabelIndex
+from strandline.operators.summaries import PivotSummaries
+from strandline.operators.term_counts import TermCounts
 from strandline.plans import derive
 from strandline.plans.export import export_corpus
 from strandline.plans.views import register_views
 from strandline.session import tune
+from strandline.sources.corpus import Corpus
 from strandline.sources.readers import ExportedLayout, open_exported
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +138,52 @@ def _on_index(table: str, build: Callable[[LabelIndex], DataFrame]) -> Query:
     return _on_corpus(lambda corpus: build(index_of(corpus, table)))
 
 
+_kept: dict[tuple[str, str], object] = {}
+
+
+def _once(corpus: derive.DerivedCorpus, name: str, build: Callable[[], object]):
+    """What ``build`` writes for a corpus, written once."""
+    with _lock:
+        key = (corpus.workspace.root, name)
+        if key not in _kept:
+            _kept[key] = build()
+        return _kept[key]
+
+
+def _on_colocated(build: Callable[[graphs.PivotGraphs], DataFrame], term: str | None = TERM) -> Query:
+    """Graphs of the pivots with an emerging term, or of all, from co-located edges."""
+
+    def run(corpus: derive.DerivedCorpus) -> DataFrame:
+        stored = _once(corpus, "colocated", lambda: ColocatedEdges.build(corpus, corpus.workspace))
+        pivots = PivotSet.load(corpus)
+        return build(ColocatedGraphs(corpus, (pivots.emerge(term) if term else pivots).rows, stored))
+
+    return _on_corpus(run)
+
+
+def _period_by_period(corpus: derive.DerivedCorpus) -> TermCounts:
+    """Term counts, appended in the order of the periods (one for each calendar window)."""
+    stored = TermCounts(corpus.spark, corpus.workspace.path("term_counts"))
+    for period in corpus.periods().orderBy("period").collect():
+        nodes = corpus.topic_nodes().filter(F.col("period") == period["period"])
+        # a derived topic belongs to one period
+        mine = corpus.topic_dictionary().join(nodes.select("topic_id").distinct(), "topic_id", "left_semi")
+        stored.append(period["period"], Corpus.of(topic_nodes=nodes, topic_dictionary=mine))
+    return stored
+
+
+def _on_term_counts(build: Callable[[TermCounts], DataFrame]) -> Query:
+    return _on_corpus(lambda c: build(_once(c, "term_counts", lambda: _period_by_period(c))))
+
+
+def _on_summaries(build: Callable[[PivotSummaries], DataFrame]) -> Query:
+    def run(corpus: derive.DerivedCorpus) -> DataFrame:
+        rows = index_of(corpus, "pivots").rows
+        return build(_once(corpus, "summaries", lambda: PivotSummaries.build(rows, corpus.workspace, "pivot_summaries")))
+
+    return _on_corpus(run)
+
+
 def _label_search_edges(corpus: derive.DerivedCorpus) -> DataFrame:
     found = lookups.topics_labelled_with_any(corpus, "emerging", SEARCH_TERMS, SEARCH_BETA)
     return graphs.subgraphs_of(corpus.paths(SEARCH_BETA), found)
@@ -276,6 +326,16 @@ def queries() -> dict[str, Query]:
         "period_compare": _on_corpus(lambda c: terms.compare_periods(c, PERIODS, TOP_TERMS)),
         "sql_period_terms": _on_corpus(_sql_period_terms),
         "sql_labels_of_threshold": _on_corpus(_sql_labels_of_threshold),
+        # the same from counts that grow with each period
+        "inc_term_freq": _on_term_counts(lambda t: t.term_frequency()),
+        "inc_label_per_period": _on_term_counts(lambda t: t.label_per_period()),
+        "inc_period_terms": _on_term_counts(
+            lambda t: t.label_per_period(periods=[terms.period_label(START_YEAR)]).limit(TOP_ROWS).select("rank", "term", "freq")
+        ),
+        # reports from stored summaries
+        "sum_describe": _on_summaries(lambda s: s.describe()),
+        "sum_describe_cols": _on_summaries(lambda s: s.describe("start_year", "end_year", "split_degree")),
+        "sum_bounds": _on_summaries(lambda s: s.bounds()),
         # facets
         "facet_terms": _on_pivots(lambda p: p.term_choices()),
         "facet_keywords": _on_pivots(lambda p: p.keyword_choices()),
@@ -293,6 +353,13 @@ def queries() -> dict[str, Query]:
         "g_sel_nodes": _on_selected(lambda g: g.nodes()),
         "g_sel_timeline_nodes": _on_selected(lambda g: g.timeline_nodes()),
         "g_sel_shape": _on_selected(lambda g: g.shapes()),
+        # the same graphs from co-located edges
+        "co_sel_edges": _on_colocated(lambda g: g.edges()),
+        "co_sel_multi_edges": _on_colocated(lambda g: g.edges(merged=True)),
+        "co_sel_nodes": _on_colocated(lambda g: g.nodes()),
+        "co_sel_timeline_nodes": _on_colocated(lambda g: g.timeline_nodes()),
+        "co_sel_shape": _on_colocated(lambda g: g.shapes()),
+        "co_single_edges": _on_colocated(lambda g: g.edges(), term=None),
         "g_bidir": _on_graphs(lambda g: g.bidirectional_edges()),
         "g_multi_bidir": _on_graphs(lambda g: g.bidirectional_edges(merged=True)),
         "g_edge_style": _on_graphs(lambda g: g.styled_edges()),
