@@ -42,7 +42,7 @@ def counts_of(topics: Corpus) -> DataFrame:
     overall = F.array(F.struct(F.lit(True).alias("overall"), F.lit(None).cast("string").alias("period")))
     within = F.transform("periods", lambda p: F.struct(F.lit(False).alias("overall"), p["period"].alias("period")))
     places = F.when(F.col("periods").isNull(), overall).otherwise(F.concat(overall, within))
-    placed = listed.join(periods_of, "topic_id", "left").select("term", F.inline(places))
+    placed = listed.join(periods_of.hint("merge"), "topic_id", "left").select("term", F.inline(places))
     return placed.groupBy("overall", "period", "term").agg(F.count("*").alias("freq"))
 
 

@@ -53,8 +53,10 @@ def label_per_period(
 
     The periods of a topic are gathered with one shuffle on the topic id, which the
     join then reuses; a topic has few distinct periods, and they are combined
-    before the shuffle.  The top list is broadcast, so no term, however frequent,
-    gathers its topics in one task.
+    before the shuffle.  There is a row per topic, which compressed files make look
+    small, so the join is asked to merge: a broadcast would pass them through the
+    driver.  The top list is broadcast, so no term, however frequent, gathers its
+    topics in one task.
     """
     nodes = corpus.topic_nodes()
     if periods is not None:
@@ -68,7 +70,7 @@ def label_per_period(
     return (
         _topic_terms(corpus)
         .join(frequent, "term")
-        .join(periods_of, "topic_id")
+        .join(periods_of.hint("merge"), "topic_id")
         .select("rank", "term", F.inline("periods"))
         .groupBy("period", "rank", "term")
         .agg(F.count("*").alias("freq"))

@@ -4,6 +4,7 @@ import pytest
 from conftest import values
 
 from strandline.operators import lookups, terms
+from strandline.operators.term_counts import counts_of
 from strandline.plans.views import register_views
 
 
@@ -110,3 +111,11 @@ def test_views_answer_sql_under_stored_column_names(spark, corpus):
     ]
     top = spark.sql("SELECT term FROM t_freqLabels ORDER BY rank LIMIT 1").first()
     assert top.term == "acid"
+
+
+def test_periods_of_topics_are_not_broadcast(corpus):
+    """There is a row per topic: only the list of top terms may pass through the driver."""
+    plan = terms.label_per_period(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+    plan = counts_of(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
