@@ -12,7 +12,8 @@ has one signature, which is both.)  Two texts are linked if the probability Jacc
 their weighted shingles, or the Jaccard similarity of the sets, is large enough.
 
 Bands of registers make buckets, the members of a bucket are compared with one of them
-at a time, and exact similarities of the shingles decide.
+at a time, and exact similarities of the shingles decide.  Where that leaves a bucket
+with several classes, all pairs of them are compared.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ class NearPolicy:
     rows: int = 6
     #: Further rounds of proposals after the first one; a round that links nothing is the last.
     rounds: int = 1
+    #: What is left is compared in blocks of about so many texts, or shingles if that is less.
+    block_texts: int = 512
+    block_shingles: int = 1 << 20
 
     @property
     def registers(self) -> int:
@@ -218,10 +222,82 @@ def _verify(similarity: float):
     return verify
 
 
+def _shared(hashes: np.ndarray, begin: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text, shingles, weight) for each text of ``left``: what it shares with each text of
+    ``right``, in distinct shingles and as the sum of the smaller of the two weights.
+
+    Shingles of text t are ``hashes[begin[t]:begin[t + 1]]``, ascending.
+    """
+    size = np.diff(begin)
+    text = np.repeat(np.arange(len(size)), size)
+    place = np.full(len(size), -1)
+    place[right] = np.arange(len(right))
+    held = np.flatnonzero(place[text] >= 0)
+    held = held[np.argsort(hashes[held], kind="stable")]
+    sorted_hashes, column, weight = hashes[held], place[text[held]], weights[held]
+    for t in left:
+        mine = slice(begin[t], begin[t + 1])
+        low, high = (np.searchsorted(sorted_hashes, hashes[mine], side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        least = np.minimum(np.repeat(weights[mine], n), weight[at])
+        yield t, np.bincount(column[at], minlength=len(right)), np.bincount(column[at], least, minlength=len(right))
+
+
+def _compare(similarity: float):
+    """All links between texts of different classes in a pair of blocks of a bucket.
+
+    Shares of the weights bound the probability Jaccard from above, since a sum of
+    maxima is no less than either sum; it is worked out where they do not rule it out.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        often = table.column("counts").to_pylist()
+        counts = [np.ones(len(s)) if c is None else np.frombuffer(c, np.uint32).astype(float) for s, c in zip(sets, often)]
+        begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        weights = np.concatenate([c / max(c.sum(), 1) for c in counts])
+        size, repeats = np.diff(begin), np.array([c is not None for c in often])
+        within = block.min() == block.max()
+        right = np.arange(len(node)) if within else np.flatnonzero(block == block.max())
+        left = right if within else np.flatnonzero(block == block.min())
+        links = []
+        for t, shared, share in _shared(np.concatenate(sets), begin, weights, left, right):
+            other = (label[right] != label[t]) & ((node[right] > node[t]) | (not within))
+            alike = shared / np.maximum(size[t] + size[right] - shared, 1) >= similarity - 1e-9
+            links += [(node[t], node[u]) for u in right[other & alike]]
+            for u in right[other & ~alike & (repeats[t] | repeats[right]) & (share >= similarity - 1e-6)]:
+                if probability_jaccard(sets[t], counts[t], sets[u], counts[u]) >= similarity - 1e-9:
+                    links.append((node[t], node[u]))
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
+
+    return compare
+
+
 #: What a word has (fixed value).
 _INK = r"[^\x20\x09-\x0D]"
 
 
+#: Bits of the filter that tells most texts without candidates from the others, and of a part of it.
+_FILTER_BITS, _PART_BITS = 1 << 26, 1 << 15
+
+
+def maybe_in(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` but most of those whose ``key`` is not in ``found``.
+
+    A bitmap of fixed size is broadcast, so that texts nobody asks for are not
+    shuffled; all rows whose key is in ``found`` stay.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS))
+    part = F.expr(f"bit div {_PART_BITS}").alias("part")
+    bits = found.select(bit.alias("bit")).select(part, F.expr(f"bit % {_PART_BITS}").alias("bit"))
+    bits = bits.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    there = F.expr(f"getbit(cast(conv(hex(substring(bits, cast((bit % {_PART_BITS}) div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1")
+    placed = docs.withColumn("bit", bit).withColumn("part", part)
+    return placed.join(F.broadcast(bits), "part").filter(there).select(*docs.columns)
+
+
 def content(text: Column) -> Column:
     """Digest of a text; NULL without words."""
     return F.when(text.rlike(_INK), F.unhex(F.md5(text)))
@@ -268,7 +344,8 @@ class NearDuplicates:
 
         A bucket names one of its members at a time, and every other member is compared
         with it.  So the pairs of a round are no more than the entries of nodes in
-        buckets, whatever the size of a bucket, and no proposal is left out.
+        buckets, whatever the size of a bucket, and no proposal is left out.  In the end
+        any two nodes of a bucket are in one class or were compared: see ``_rest``.
         """
         entries = nodes.select("node", F.explode("keys").alias("bucket"))
         shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
@@ -277,7 +354,7 @@ class NearDuplicates:
         # one row of each text: those that have its first id
         chosen = nodes.join(candidates, "node", "left_semi").select("node", "content", exactly(F.col("first.id")).alias("at"))
         chosen = keep(chosen, "near-chosen")
-        texts = self.plain.withColumn("at", exactly(F.col("id"))).join(chosen, ["content", "at"])
+        texts = maybe_in(self.plain, chosen, "content").withColumn("at", exactly(F.col("id"))).join(chosen, ["content", "at"])
         sets = texts.select("node", "t").mapInArrow(_sets(self.policy), "node bigint, shingles binary, counts binary")
         sets = keep(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "near-sets")
 
@@ -295,6 +372,12 @@ class NearDuplicates:
             further = merged(links, label)
             discard(label)
             label = further
+        links = self._rest(members, label, sets)
+        found.append(links)
+        if not links.isEmpty():
+            further = merged(links, label)
+            discard(label)
+            label = further
         named = keep(with_names(label), "near-components")
         # two nodes may propose each other in one round
         pairs = reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -338,6 +421,33 @@ class NearDuplicates:
         discard(named, open_buckets, live, ends)
         return proposed
 
+    def _rest(self, members: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b): the links between nodes of one bucket that are still in different classes.
+
+        The pairs are never rows: a bucket of several classes is cut into blocks by a hash
+        of the node, and a task compares two blocks at a time.  So its memory is that of
+        two blocks, however many members a bucket has.
+        """
+        policy = self.policy
+        named = members.select("bucket", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = named.join(sets.select("node", (F.octet_length("shingles") / 8).alias("n")), "node")
+        sized = named.groupBy("bucket").agg(
+            F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("texts"), F.sum("n").alias("shingles")
+        )
+        blocks = F.ceil(F.greatest(F.col("texts") / policy.block_texts, F.col("shingles") / policy.block_shingles, F.lit(1.0)))
+        several = keep(sized.filter("least <> most").select("bucket", blocks.cast("long").alias("blocks")), "near-several")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        entries = keep(named.join(several, "bucket").select("bucket", "node", "label", "blocks", block.alias("block")), "near-entries")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        paired = entries.select("*", other.alias("other")).join(sets, "node")
+        paired = paired.select(
+            "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "shingles", "counts"
+        )
+        compared = paired.groupBy("bucket", "i", "j").applyInArrow(_compare(policy.similarity), "a bigint, b bigint")
+        links = keep(compared.distinct(), "near-rest")
+        discard(several, entries)
+        return links
+
     def classes(self) -> DataFrame:
         """(content, leads, first, same, leader_first, size, links): every different text
         that has copies or near-duplicates.

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm_cases import ODD, make_docs, prose  # noqa: F401
+from pyspark.sql import functions as F
 
 from strandline.llm import prob_minhash as P
 from strandline.llm.components import components
@@ -229,3 +230,29 @@ def test_components_equal_brute_force(spark, seed):
             assert len({got[n] for n in members}) == 1
     groups = {frozenset(m) for m in label.values() if len(m) > 1}
     assert len({got[n] for m in groups for n in m}) == len(groups)
+
+
+def ring_of_hot_texts(prose, n):
+    """Texts around one text, each with one that is just alike enough to it: a bucket of many classes."""
+    rows = []
+    for i in range(n):
+        text = changed(prose(4, 150), i, 0.05)
+        rows += [(2 * i, text), (2 * i + 1, changed(text, 10_000 + i, 0.02))]
+    return rows
+
+
+def test_a_bucket_of_many_classes_loses_no_link(make_docs, prose):
+    """No further round, so all but the links to the first members are left to the exact rest."""
+    rows = ring_of_hot_texts(prose, 40)
+    rows += [(1000 + i, f"{t} " + " ".join([prose(900, 12)] * 3)) for i, t in rows[:6]]  # with weights
+    policy = P.NearPolicy(rounds=0, block_texts=16)
+    got = {r["doc_id"]: r["class_id"] for r in P.near_duplicates(make_docs(rows), policy=policy).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_the_filter_keeps_all_that_is_asked_for(spark):
+    docs = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("k"), "id")
+    some = docs.filter("id % 7 = 0").select("k")
+    kept = {r["id"] for r in P.maybe_in(docs, some, "k").collect()}
+    assert {i for i in range(3000) if i % 7 == 0} <= kept and len(kept) < 450
+    assert P.maybe_in(docs, some.limit(0), "k").count() == 0
