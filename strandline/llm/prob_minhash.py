@@ -222,9 +222,9 @@ def _verify(similarity: float):
     return verify
 
 
-def _shared(hashes: np.ndarray, begin: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(text, shingles, weight) for each text of ``left``: what it shares with each text of
-    ``right``, in distinct shingles and as the sum of the smaller of the two weights.
+def _shared(hashes: np.ndarray, begin: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple]:
+    """(text, column, x, y) for each text of ``left``: for every shingle that it shares with a
+    text of ``right``, the place of that text there and the weights in both.
 
     Shingles of text t are ``hashes[begin[t]:begin[t + 1]]``, ascending.
     """
@@ -239,16 +239,44 @@ def _shared(hashes: np.ndarray, begin: np.ndarray, weights: np.ndarray, left: np
         mine = slice(begin[t], begin[t + 1])
         low, high = (np.searchsorted(sorted_hashes, hashes[mine], side) for side in ("left", "right"))
         n = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        least = np.minimum(np.repeat(weights[mine], n), weight[at])
-        yield t, np.bincount(column[at], minlength=len(right)), np.bincount(column[at], least, minlength=len(right))
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield t, column[at], np.repeat(weights[mine], n), weight[at]
+
+
+def common(hashes: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """(left, right): how many distinct shingles two texts share, by products of 0/1 matrices
+    of ``width`` shingles at a time; a shingle of one text alone has no column."""
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    _, column, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1
+    some = often[column] > 1
+    text, column = text[some], number[column[some]]
+    order = np.argsort(column, kind="stable")
+    text, column = text[order], column[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        at = slice(*np.searchsorted(column, [first, first + width]))
+        there = np.zeros((len(begin) - 1, width), np.float32)
+        there[text[at], column[at] - first] = 1
+        shared += there[left] @ there[right].T
+    return np.rint(shared).astype(np.int64)
+
+
+def probability_bound(column: np.ndarray, x: np.ndarray, y: np.ndarray, texts: int) -> np.ndarray:
+    """No less than the probability Jaccard of a text and each of ``texts`` others, from the
+    shares of the weights of what they share (see ``_shared``).
+
+    What only one of the two has is summed as it is; of the rest a sum of maxima is no less
+    than either sum.  With equal weights this is the Jaccard similarity of the sets.
+    """
+    only_x, only_y = (np.maximum(1.0 - np.bincount(column, w, minlength=texts), 0.0)[column] for w in (x, y))
+    return np.bincount(column, np.minimum(1.0 / (1.0 / x + only_y / y), 1.0 / (only_x / x + 1.0 / y)), minlength=texts)
 
 
 def _compare(similarity: float):
     """All links between texts of different classes in a pair of blocks of a bucket.
 
-    Shares of the weights bound the probability Jaccard from above, since a sum of
-    maxima is no less than either sum; it is worked out where they do not rule it out.
+    The probability Jaccard is worked out where its bound does not rule it out.
     """
 
     def compare(table: pa.Table) -> pa.Table:
@@ -263,11 +291,21 @@ def _compare(similarity: float):
         right = np.arange(len(node)) if within else np.flatnonzero(block == block.max())
         left = right if within else np.flatnonzero(block == block.min())
         links = []
-        for t, shared, share in _shared(np.concatenate(sets), begin, weights, left, right):
-            other = (label[right] != label[t]) & ((node[right] > node[t]) | (not within))
-            alike = shared / np.maximum(size[t] + size[right] - shared, 1) >= similarity - 1e-9
-            links += [(node[t], node[u]) for u in right[other & alike]]
-            for u in right[other & ~alike & (repeats[t] | repeats[right]) & (share >= similarity - 1e-6)]:
+        flat = np.concatenate(sets)
+        both = common(flat, begin, left, right)
+        other = label[left][:, None] != label[right]
+        if within:
+            other &= node[left][:, None] < node[right]
+        alike = both / np.maximum(size[left][:, None] + size[right] - both, 1) >= similarity - 1e-9
+        links += [(node[left[i]], node[right[k]]) for i, k in np.argwhere(other & alike)]
+        # those that only weights could link
+        open_ = other & ~alike & (both > 0) & (repeats[left][:, None] | repeats[right])
+        rows = np.flatnonzero(open_.any(axis=1))
+        for i, (t, column, x, y) in zip(rows, _shared(flat, begin, weights, left[rows], right)):
+            weighted = open_[i]
+            there = weighted[column]
+            near = probability_bound(column[there], x[there], y[there], len(right)) >= similarity - 1e-6
+            for u in right[weighted & near]:
                 if probability_jaccard(sets[t], counts[t], sets[u], counts[u]) >= similarity - 1e-9:
                     links.append((node[t], node[u]))
         return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})

@@ -141,6 +141,10 @@ def test_probability_jaccard_equals_its_definition(seed):
         every = a.keys() | b.keys()
         expected = sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in every) for i in a.keys() & b.keys())
         assert abs(P.probability_jaccard(*arrays) - expected) < 1e-12
+        shared = sorted(a.keys() & b.keys())
+        x, y = (np.array([c[i] / sum(c.values()) for i in shared]) for c in (a, b))
+        bound = P.probability_bound(np.zeros(len(shared), int), x, y, 1)[0]
+        assert expected - 1e-12 <= bound <= np.minimum(x, y).sum() + 1e-12
 
 
 def hot_bucket(prose, n):
