@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -53,17 +53,21 @@ class Workspace:
         df: DataFrame,
         partition_by: Sequence[str] = (),
         sort_by: Sequence[str] = (),
+        last: Callable[[DataFrame], DataFrame] | None = None,
     ) -> None:
         """``sort_by`` gives each file a range of those columns, and orders its rows.
 
         A lookup by the first of them opens the one or two files whose min/max cover
         it.  The ranges run over the partition columns too, so a task writes into few
         folders, and over all of ``sort_by``, so a value of the first column that many
-        rows have spreads over several files.
+        rows have spreads over several files.  ``last`` makes the columns that are
+        written, once the rows are where they stay: they are not shuffled.
         """
         if sort_by:
             df = df.repartitionByRange(*partition_by, *sort_by)
             df = df.sortWithinPartitions(*partition_by, *sort_by)
+        if last is not None:
+            df = last(df)
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
