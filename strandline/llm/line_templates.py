@@ -45,15 +45,19 @@ class TemplatePolicy:
 
 def _parsed(text: str, policy: TemplatePolicy, masked: bool) -> Column:
     """Array of struct(n, leaf, form, masked or line) for the lines of a text, in order:
-    ``form`` hashes the masked tokens, ``line`` the tokens as they are."""
-    plain = r"filter(split(l, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
-    tokens = f"transform(ws, w -> if(w rlike '[0-9]', '{WILD}', w))"
+    ``form`` hashes the masked tokens, ``line`` the tokens as they are.
+
+    Lines are split at single blanks, which takes no regular expression, so other white
+    space is made blank in the text; only lines with a digit have tokens to mask."""
+    plain = "filter(split(l, ' '), w -> w <> '')"
+    tokens = f"if(l rlike '[0-9]', transform(ws, w -> if(w rlike '[0-9]', '{WILD}', w)), ws)"
     fields = (
         "named_struct('n', size(ts),"
         f" 'leaf', xxhash64(size(ts), slice(ts, 1, {policy.depth})),"
         " 'form', xxhash64(array_join(ts, ' ')), " + ("'masked', array_join(ts, ' '))" if masked else "'line', xxhash64(array_join(ws, ' ')))")
     )
-    return F.expr(rf"transform(split(`{text}`, '\n', -1), l -> {let('ws', plain, let('ts', tokens, fields))})")
+    blank = rf"regexp_replace(`{text}`, '[\\x09\\x0B-\\x0D]', ' ')"
+    return F.expr(rf"transform(split({blank}, '\n', -1), l -> {let('ws', plain, let('ts', tokens, fields))})")
 
 
 def _long(lines: Column, policy: TemplatePolicy) -> Column:

@@ -98,6 +98,16 @@ def test_long_passages_recur_from_two_documents_on(make_docs, prose):
     assert all(got[i][2] == 0 for i in (3, 4, 5)), "repeated rows are one document, and these lines differ in a token"
 
 
+def test_lines_are_parsed_at_any_white_space_without_a_regex_split(make_docs):
+    texts = ["a\tb \x0b c\x0cd\re\n\n  x1\ty \xa0z  \n", "no digit here\nitem 12 of\t3b", "", "\t \r"]
+    parsed = make_docs(list(enumerate(texts))).select("text", line_templates._parsed("text", line_templates.TemplatePolicy(), True).alias("lines"))
+    assert "x09-\\x0D]+, -1)" not in parsed._jdf.queryExecution().optimizedPlan().toString(), "a pattern is compiled for each line"
+    for row in parsed.collect():
+        words = [[w for w in re.split(r"[\x20\x09-\x0D]+", line) if w] for line in row.text.split("\n")]
+        masked = [["<*>" if re.search("[0-9]", w) else w for w in line] for line in words]
+        assert [(l.n, l.masked) for l in row.lines] == [(len(w), " ".join(w)) for w in masked]
+
+
 def test_odd_texts_repeated_rows_and_no_rows(make_docs):
     rows = list(enumerate(ODD)) + [(None, "same line of words here")] * 4 + [(i, "same line of words here") for i in (50, 51)]
     got = cleaned(make_docs(rows))
