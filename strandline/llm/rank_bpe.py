@@ -17,7 +17,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -135,7 +135,7 @@ class WordCoder:
         tree = json.loads(spec)
         model = tree["model"]
         self.vocabulary: dict[str, int] = model["vocab"]
-        self.merger = RankMerger(model["merges"], self.vocabulary, model["end_of_word_suffix"] or "")
+        self._spec = spec
         self.special = {t["content"]: t["id"] for t in tree["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocabulary.items(), *self.special.items()]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -146,7 +146,14 @@ class WordCoder:
         self.entries = Remembered(self._entry, REMEMBERED)
         self.packed = Remembered(self._packed, 2 * REMEMBERED)
         self.words = Remembered(self._word, REMEMBERED)
-        self.packed_words = Remembered(lambda word: array("I", self.merger.ids(word)).tobytes(), REMEMBERED)
+        # packed ids are merged by the library, whose model takes a word as it is
+        self.library_merges = library.model.tokenize
+        self.packed_words = Remembered(lambda word: array("I", [t.id for t in self.library_merges(word)]).tobytes(), REMEMBERED)
+
+    @cached_property
+    def merger(self) -> RankMerger:
+        model = json.loads(self._spec)["model"]
+        return RankMerger(model["merges"], self.vocabulary, model["end_of_word_suffix"] or "")
 
     def words_of(self, piece: str) -> list[str]:
         """The normalised words of a piece, in the letters that stand for bytes."""

@@ -55,11 +55,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
     Workers that cannot import it from their own path get it from the driver.
     """
+    # texts reach the workers in batches of a few MB, not of 64: an executor holds several
+    # buffers of that size for each core, and so does each worker
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

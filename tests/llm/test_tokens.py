@@ -58,6 +58,26 @@ def test_counts_equal_the_library(make_docs, texts):
     assert token_counts.token_counts(make_docs([]), BYTE).count() == 0
 
 
+def test_packed_ids_are_merged_by_the_library(texts):
+    """Re-Pair encodes with the library; its words are not merged again in Python."""
+    words = rank_bpe.WordCoder(open(WORD, "rb").read())
+    library = Tokenizer.from_file(WORD)
+    for text in texts:
+        text = text or ""
+        got = np.frombuffer(words.packed_ids(text), "<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids
+    assert "merger" not in vars(words)
+
+
+def test_texts_reach_workers_in_small_batches(spark, make_docs):
+    """A batch of texts is bounded in bytes, whatever the session came with."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    docs = make_docs(list(enumerate(["word " * 100_000] * 40)))
+    rank_bpe.round_trip(docs, WORD)
+    sizes = docs.coalesce(1).mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id long").count()
+    assert sizes > 1
+
+
 def test_caches_keep_what_is_used(monkeypatch):
     made = []
     cache = rank_bpe.Remembered(lambda k: made.append(k) or k, 3)
