@@ -54,6 +54,8 @@ class Workspace:
         partition_by: Sequence[str] = (),
         sort_by: Sequence[str] = (),
         last: Callable[[DataFrame], DataFrame] | None = None,
+        range_by: Sequence[str] = (),
+        spell: Callable[[DataFrame], DataFrame] | None = None,
     ) -> None:
         """``sort_by`` gives each file a range of those columns, and orders its rows.
 
@@ -62,9 +64,15 @@ class Workspace:
         folders, and over all of ``sort_by``, so a value of the first column that many
         rows have spreads over several files.  ``last`` makes the columns that are
         written, once the rows are where they stay: they are not shuffled.
+
+        If the rows of one id are few and have much in common, ``df`` may have one row
+        for all of them: ``range_by`` are then the columns that give the ranges, and
+        ``spell`` makes the rows behind the exchange, before they are ordered.
         """
         if sort_by:
-            df = df.repartitionByRange(*partition_by, *sort_by)
+            df = df.repartitionByRange(*(range_by or [*partition_by, *sort_by]))
+            if spell is not None:
+                df = spell(df)
             df = df.sortWithinPartitions(*partition_by, *sort_by)
         if last is not None:
             df = last(df)
