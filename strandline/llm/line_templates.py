@@ -44,20 +44,20 @@ class TemplatePolicy:
 
 
 def _parsed(text: str, policy: TemplatePolicy, masked: bool) -> Column:
-    """Array of struct(n, leaf, form, masked or line) for the lines of a text, in order:
-    ``form`` hashes the masked tokens, ``line`` the tokens as they are.
+    """Array of struct(n, leaf, form, line and, if asked for, masked) for the lines of a
+    text, in order: ``form`` hashes the masked tokens, ``line`` the tokens as they are.
 
     Lines are split at single blanks, which takes no regular expression, so other white
     space is made blank in the text; only lines with a digit have tokens to mask."""
-    plain = "filter(split(l, ' '), w -> w <> '')"
+    plain = "array_remove(split(l, ' '), '')"
     tokens = f"if(l rlike '[0-9]', transform(ws, w -> if(w rlike '[0-9]', '{WILD}', w)), ws)"
     fields = (
         "named_struct('n', size(ts),"
         f" 'leaf', xxhash64(size(ts), slice(ts, 1, {policy.depth})),"
-        " 'form', xxhash64(array_join(ts, ' ')), " + ("'masked', array_join(ts, ' '))" if masked else "'line', xxhash64(array_join(ws, ' ')))")
+        " 'form', xxhash64(whole), 'line', xxhash64(array_join(ws, ' '))" + (", 'masked', whole)" if masked else ")")
     )
     blank = rf"regexp_replace(`{text}`, '[\\x09\\x0B-\\x0D]', ' ')"
-    return F.expr(rf"transform(split({blank}, '\n', -1), l -> {let('ws', plain, let('ts', tokens, fields))})")
+    return F.expr(rf"transform(split({blank}, '\n', -1), l -> {let('ws', plain, let('ts', tokens, let('whole', "array_join(ts, ' ')", fields)))})")
 
 
 def _long(lines: Column, policy: TemplatePolicy) -> Column:
@@ -81,14 +81,18 @@ def without_recurring_lines(
         F.struct(F.col(f"`{order}`").isNull().alias("none"), F.col(f"`{order}`").alias("id"), identity.alias("key")).alias("doc"),
         F.col(f"`{text}`").alias("t"),
     )
-    entries = keep(keyed.select("doc", _parsed("t", policy, False).alias("lines")), "lines")
+    # texts are parsed once: the masked lines are written, each once a text, beside the hashes
+    parsed = keyed.select("doc", _parsed("t", policy, True).alias("parsed"))
+    hashes = F.transform("parsed", lambda line: F.struct(*[line[c].alias(c) for c in ("n", "leaf", "form", "line")]))
+    said = F.array_distinct(F.transform(_long(F.col("parsed"), policy), lambda line: F.struct(*[line[c].alias(c) for c in ("leaf", "form", "masked")])))
+    entries = keep(parsed.select("doc", hashes.alias("lines"), said.alias("said")), "lines")
 
     leaves = F.array_distinct(F.transform(_long(F.col("lines"), policy), lambda line: line["leaf"]))
     busy = keep(
         entries.select(F.explode(leaves).alias("leaf")).groupBy("leaf").count().filter(F.col("count") >= policy.min_docs).select("leaf"),
         "leaves",
     )
-    forms = _forms(keyed, busy, policy)
+    forms = _forms(entries, busy)
     templates = _templates(forms, policy)
 
     at = F.posexplode("lines").alias("pos", "line")
@@ -132,14 +136,13 @@ def without_recurring_lines(
     return joined.select(*columns, counts.alias(name)), name
 
 
-def _forms(keyed: DataFrame, busy: DataFrame, policy: TemplatePolicy) -> DataFrame:
+def _forms(entries: DataFrame, busy: DataFrame) -> DataFrame:
     """The different masked lines of busy leaves: (leaf, form, tokens, docs).
 
     The group key begins with the form, so that its exchange is not that of the join
     and a leaf with very many lines can be split.
     """
-    lines = F.array_distinct(_long(_parsed("t", policy, True), policy))
-    exploded = keyed.select(F.explode(lines).alias("line")).select("line.leaf", "line.form", "line.masked")
+    exploded = entries.select(F.inline("said"))
     within = exploded.join(distinct_keys(busy, "leaf"), "leaf", "left_semi")
     counted = within.groupBy(F.xxhash64("form", "leaf").alias("place"), "masked").agg(
         F.min("leaf").alias("leaf"), F.min("form").alias("form"), F.count("*").alias("docs")

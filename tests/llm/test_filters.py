@@ -108,6 +108,20 @@ def test_lines_are_parsed_at_any_white_space_without_a_regex_split(make_docs):
         assert [(l.n, l.masked) for l in row.lines] == [(len(w), " ".join(w)) for w in masked]
 
 
+def test_texts_are_parsed_once(make_docs, monkeypatch):
+    keep, plans = line_templates.keep, {}
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(line_templates, "keep", watched)
+    rows = [(i, f"the same line of words {i}\nsaid twice here now\nsaid twice here now\nonly {'in ' * i}this text") for i in range(5)]
+    got = cleaned(make_docs(rows))
+    assert [name for name, plan in plans.items() if "regexp_replace" in plan] == ["lines"]
+    assert [got[i][2] for i in range(5)] == [0, 3, 3, 3, 3]
+
+
 def test_odd_texts_repeated_rows_and_no_rows(make_docs):
     rows = list(enumerate(ODD)) + [(None, "same line of words here")] * 4 + [(i, "same line of words here") for i in (50, 51)]
     got = cleaned(make_docs(rows))
