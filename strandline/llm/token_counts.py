@@ -4,7 +4,9 @@ A text is cut into pre-tokens: a run without white space with the space before i
 or a run of white space.  The vocabulary's own splitting never joins two of them, so
 the count of a text is the sum of theirs.  The first tier is a compact table of the
 most frequent pre-tokens of the corpus, broadcast with a fixed size; the second is a
-cache in each worker, filled by encoding what the first misses.
+cache in each worker, filled by encoding what the first misses.  With a byte-level
+vocabulary the library's model merges the words of a missed ASCII pre-token; anything
+else takes the library's whole way.
 
 No pre-token of a text is shuffled.  To find the frequent ones, each task sends a
 summary of fixed size; the summaries decide what is fast, never what is counted.
@@ -12,6 +14,7 @@ summary of fixed size; the summaries decide what is fast, never what is counted.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +35,19 @@ FREQUENT, SUMMARY, REMEMBERED, LONGEST = 65_536, 16_384, 300_000, 64
 
 _PRE_TOKEN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+#: A pre-token of visible ASCII, and its words as the byte-level splitting cuts them; such bytes
+#: stand for themselves, a space is written as \u0120.
+_VISIBLE = re.compile(" ?[!-~]+")
+_WORD = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
+
+
+def _is_byte_level(spec: bytes) -> bool:
+    """Whether all that comes before the merges is the byte-level splitting."""
+    read = json.loads(spec)
+    before = read.get("pre_tokenizer") or {}
+    plain = not read.get("normalizer") and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return plain and before.get("type") == "ByteLevel" and read["model"].get("type") == "BPE"
+
 
 class Lengths:
     """Counts the tokens of texts from both tiers."""
@@ -42,6 +58,7 @@ class Lengths:
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.merged = self.library.model.tokenize if _is_byte_level(spec) else None
         self.lengths = Remembered(self._encoded, REMEMBERED)
         if table:
             read = pa.ipc.open_stream(table).read_all()
@@ -53,7 +70,12 @@ class Lengths:
         return self._encoded(piece) if n is None else n
 
     def _encoded(self, piece: str) -> int:
-        return len(self.library.encode(piece, add_special_tokens=False).ids)
+        if self.merged and _VISIBLE.fullmatch(piece):
+            words = _WORD.findall(piece)
+            if len(words) > 1:
+                return sum(map(self.lengths.__getitem__, words))
+            return len(self.merged(piece.replace(" ", "\u0120")))
+        return len(self.library.encode(piece, add_special_tokens=False))
 
     def cut(self, text: str) -> tuple[list[str], int]:
         """(pre-tokens, number of special tokens between them)."""

@@ -49,6 +49,22 @@ def test_scan_and_queue_merge_alike():
         assert merger._scan(list(ids)) == merger._queue(list(ids))
 
 
+def test_missed_words_take_the_model_alone(texts):
+    """Visible ASCII needs no whole encoding; its words are merged, and remembered, by themselves."""
+    lengths = token_counts.Lengths(open(BYTE, "rb").read())
+    encode, whole = lengths.library.encode, []
+
+    class Watched:
+        def encode(self, piece, **more):
+            whole.append(piece)
+            return encode(piece, **more)
+
+    lengths.library = Watched()
+    for text in [*texts, "He said: they'll pay $12,000.50 (it's 'so')! <|end a_b's"]:
+        assert lengths.count(text or "") == len(encode(text or "", add_special_tokens=False).ids)
+    assert whole and not any(piece.strip(" ") and piece.isascii() and piece.isprintable() for piece in whole)
+
+
 def test_counts_equal_the_library(make_docs, texts):
     library = Tokenizer.from_file(BYTE)
     got = token_counts.token_counts(make_docs(list(enumerate(texts)), clashing=True), BYTE, limit=20).collect()
